@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL, one per operator.
-MODULES = ("bpe", "quality",)
+MODULES = ("bpe", "quality", "secrets", "token_counts", "mpeg")
 
 
 def _all(name: str) -> dict:

@@ -17,6 +17,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from ._shared import scan, table
 #: Longer words are walked as a single path: they have no prefix to share.
 PATH_BYTES = 256
 #: Words and token pairs that a task remembers between slices.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def default_vocabulary() -> str:
@@ -48,7 +49,7 @@ def _byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Tokens in order of rank: single bytes first, then one per merge."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, encodes: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = _byte_letters(), spec["model"]["vocab"]
@@ -73,7 +74,8 @@ class Vocabulary:
         self.packed = [i.to_bytes(4, "little") for i in self.ids]
         self.lengths = [len(b) for b in self.bytes]
         self.fits: dict[int, bool] = {}
-        self._suffixes()
+        if encodes:
+            self._suffixes()
 
     def fit(self, a: int, b: int) -> bool:
         """Whether the merges, given the bytes of ``a`` and ``b``, end at just these two.
@@ -96,7 +98,7 @@ class Vocabulary:
             else:
                 good = True
                 break
-        if len(self.fits) > 4 * REMEMBERED:
+        if len(self.fits) > 3 * REMEMBERED:
             self.fits.clear()
         self.fits[a << 32 | b] = good
         return good
@@ -260,7 +262,7 @@ class Encoder:
 
 class Decoder:
     def __init__(self, path: str) -> None:
-        by_id = Vocabulary(path).by_id
+        by_id = Vocabulary(path, encodes=False).by_id
         self.table = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
 
     def __call__(self, rows: list[bytes | None]) -> list[str]:
@@ -268,6 +270,10 @@ class Decoder:
         return [b"".join(map(get, np.frombuffer(row or b"", dtype="<u4").tolist())).decode("utf-8", "replace") for row in rows]
 
 
+# Python workers serve many tasks: each loads a vocabulary once.
+_encoder, _decoder = lru_cache(maxsize=2)(Encoder), lru_cache(maxsize=2)(Decoder)
+
+
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, ids: bool = True) -> DataFrame:
     """``keep``, ``n_tokens`` and ``ids`` (packed little-endian unsigned 32-bit integers).
 
@@ -279,7 +285,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     path = vocabulary or default_vocabulary()
 
     def make():
-        encoder = Encoder(path)
+        encoder = _encoder(path)
 
         def run(texts):
             packed = encoder(texts)
@@ -298,7 +304,7 @@ def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_i
     from :func:`encode` always give back their text.
     """
     path = vocabulary or default_vocabulary()
-    return scan(encoded, ids, keep, [("text", T.StringType())], lambda: lambda rows, f=Decoder(path): [f(rows)])
+    return scan(encoded, ids, keep, [("text", T.StringType())], lambda: lambda rows: [_decoder(path)(rows)])
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +314,6 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that is left, with its source."""
     return encode(docs, keep=("doc_id", "source"))
