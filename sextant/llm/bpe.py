@@ -270,8 +270,15 @@ class Decoder:
         return [b"".join(map(get, np.frombuffer(row or b"", dtype="<u4").tolist())).decode("utf-8", "replace") for row in rows]
 
 
-# Python workers serve many tasks: each loads a vocabulary once.
-_encoder, _decoder = lru_cache(maxsize=2)(Encoder), lru_cache(maxsize=2)(Decoder)
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """Python workers serve many tasks: each loads a vocabulary once."""
+    return Encoder(path)
+
+
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, ids: bool = True) -> DataFrame:
