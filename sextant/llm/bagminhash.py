@@ -159,7 +159,8 @@ def _classify(rows: DataFrame, docs: DataFrame, id_col: str, text: str, least: f
     candidates = components(stars(copies.select("node", F.explode("bands").alias("bucket"))))
     named = cut(candidates.join(copies.select("node", "key", "id"), "node"))
     texts = docs.select(col(id_col).alias("own"), col(text).alias("item"))
-    members = texts.join(named, texts["own"].eqNullSafe(named["id"])).select("node", "comp", "key", "item")
+    # both sides grow with the corpus: the same join at every size
+    members = texts.hint("merge").join(named, texts["own"].eqNullSafe(named["id"])).select("node", "comp", "key", "item")
     members = cut(_checked(members).dropDuplicates(["node"]))
     joint = classes(members, lambda: Overlap(size, least))
     nodes = copies.join(joint, "node", "left").select("key", "n", F.coalesce("comp", "node").alias("comp"), F.struct(F.col("id").isNull().alias("z"), "id", F.col("node").alias("row")).alias("p"))
