@@ -251,7 +251,8 @@ def _items(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFr
     """(node, comp, item): the normalised text of the wanted lines, each document's picked in one go."""
     asked = wanted.groupBy("place.id", "place.doc").agg(F.collect_list(F.struct("place.pos", "node", "comp")).alias("asked"))
     texts = docs.select(handle(id_col, text).alias("own"), col(id_col).alias("own_id"), col(text).alias("text"))
-    joined = texts.join(asked, (F.col("own") == F.col("doc")) & F.col("own_id").eqNullSafe(F.col("id"))).select("text", "asked")
+    # both sides grow with the corpus: the same join at every size
+    joined = texts.hint("merge").join(asked, (F.col("own") == F.col("doc")) & F.col("own_id").eqNullSafe(F.col("id"))).select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +284,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **o
     mine = [fresh(n, names) for n in ("gone_id", "gone_doc", "gone_lines", "gone", "n_lines", "n_removed", "own")]
     gone = gone.toDF(*mine[:4])
     n_lines, n_removed, own = mine[4:]
-    joined = docs.withColumn(own, handle(id_col, text)).join(gone, (F.col(own) == F.col(mine[1])) & col(id_col).eqNullSafe(F.col(mine[0])), "left")
+    joined = docs.withColumn(own, handle(id_col, text)).hint("merge").join(gone, (F.col(own) == F.col(mine[1])) & col(id_col).eqNullSafe(F.col(mine[0])), "left")
     parts = F.split(col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(mine[3]))
     rebuilt = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
