@@ -40,16 +40,16 @@ def tokens(text: Column) -> Column:
 def traits(text: Column) -> Column:
     """What a document shows, as an array of distinct strings: its words, and its style in steps."""
     text = F.coalesce(text, F.lit(""))
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
     size = F.length(text) + 1
     step = lambda name, n: F.concat(F.lit(f"#{name}"), F.floor(F.log2(1 + 200 * n / size)).cast("string"))
-    count = lambda chars: size - 1 - F.length(F.translate(text, chars, ""))
+    count = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
     style = F.array(
-        step("symbols", count("#*$%&<>")), step("bars", count("|")), step("marks", count("!?")), step("digits", count("0123456789")),
-        step("capitals", count("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÈÉÊÇÑÓÍÁÚ")), F.concat(F.lit("#length"), F.floor(F.log2(size)).cast("string")),
-        F.concat(F.lit("#distinct"), F.floor(8 * F.size(F.array_distinct(words)) / F.size(words)).cast("string")),
+        step("symbols", count("#*$%&<>")), step("bars", count("|")), step("marks", count("!?")), step("digits", count("0-9")),
+        step("capitals", count("A-ZÀ-ÖØ-Þ")), F.concat(F.lit("#length"), F.floor(F.log2(size)).cast("string")),
+        step("distinct", 10 * F.size(words)),
     )
-    return F.array_distinct(F.concat(F.filter(words, lambda w: w != ""), style))
+    return F.concat(words, style)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", names: tuple[str, ...] = tuple(TARGETS), train_rows: int = TRAIN_ROWS) -> tuple[list[str], dict[str, list[float]], list[float]]:
@@ -62,12 +62,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """
     known = labels.select(col(id_col).alias("id"), domain(col("quality"), col("toxic")).alias("domain")).where(F.col("domain").isin(*names) & F.col("id").isNotNull())
     sample = known.distinct().orderBy(F.xxhash64("id"), "id", "domain").limit(train_rows)
-    shown = docs.select(col(id_col).alias("id"), traits(col(text)).alias("traits")).join(F.broadcast(sample), "id").select("domain", "traits")
+    # the text is taken apart behind the join, where only the sample is left
+    shown = docs.select(col(id_col).alias("id"), col(text).alias("text")).join(F.broadcast(sample), "id").select("domain", traits(F.col("text")).alias("traits"))
     shown = cut(shown)
     sizes = {r["domain"]: r["n"] for r in shown.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = [sizes.get(d, 0) for d in names]
     whole = sum(n)
-    counts = shown.select("domain", F.explode("traits").alias("trait")).groupBy("trait").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(names)])
+    counts = shown.select("domain", F.explode("traits").alias("trait")).where("trait <> ''").groupBy("trait").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(names)])
     share = [(F.col(f"n{i}") + 0.5) / (n[i] + 1.0) for i in range(len(names))]
     rows = sum((F.col(f"n{i}") for i in range(len(names))), F.lit(0))
     # what a feature tells: the largest pull of its domains' shares on the whole's
