@@ -132,9 +132,9 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tupl
     """(rate, reached): the rate as an expression over p0, p1, ..., and the domains' expected tokens.
 
     Minimises the squared distance of the expected tokens from ``targets`` times
-    the corpus's tokens, in the metric in which the whole corpus moves alike in
-    all directions; a step is r <- max(0, r - p . m), where m solves that metric
-    for the current distances. It starts at r = 1 and needs one pass a step.
+    the corpus's tokens, in the metric in which the rows with a positive rate
+    move alike in all directions; a step is r <- max(0, r - p . m), where m solves
+    that metric for the current distances. It starts at r = 1 and needs one pass a step.
     """
     k = range(len(targets))
     named = [F.sum(F.col("n") * F.col(f"p{i}")).alias(f"s{i}") for i in k]
@@ -145,17 +145,20 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tupl
     aims = [t * total for t in targets]
     rate = F.lit(1.0)
     reached = [float(found[f"s{i}"] or 0) for i in k]
-    best = (rate, reached)
     for _ in range(steps):
         gaps = [r - a for r, a in zip(reached, aims, strict=True)]
         if total == 0 or max(map(abs, gaps)) <= TOLERANCE * total:
             break
         move = _solve(g, gaps)
         rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(move[i]) for i in k[1:]), F.col("p0") * F.lit(move[0])))
-        now = rows.agg(*[F.sum(F.col("n") * F.col(f"p{i}") * rate).alias(f"s{i}") for i in k]).first()
+        # the next step's metric is that of the rows that can still move both ways
+        free = F.when(rate > 0, F.col("n")).otherwise(0)
+        sums = [F.sum(F.col("n") * F.col(f"p{i}") * rate).alias(f"s{i}") for i in k]
+        gram = [F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in k for j in k if i <= j]
+        now = rows.agg(*sums, *gram).first()
         reached = [float(now[f"s{i}"] or 0) for i in k]
-        best = (rate, reached)
-    return best
+        g = [[float(now[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in k] for i in k]
+    return rate, reached
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
