@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
 from operator import and_, or_
@@ -166,7 +166,7 @@ class Predicate:
     low: Value = None
     high: Value = None
     m: int = 0
-    terms: tuple["Predicate", ...] = field(default=())
+    terms: tuple["Predicate", ...] = ()
 
     def column(self) -> Column:
         simple = {"eq": eq, "ne": ne, "le": le, "ge": ge, "word": contains_word, "starts": starts, "ends": ends, "has": has}

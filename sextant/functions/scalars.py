@@ -59,6 +59,12 @@ def epoch_text(seconds: Column) -> Column:
     return F.date_format(F.timestamp_micros((seconds * 1_000_000).cast("long")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def micros(time: str | Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a time zone."""
+    time = F.col(time) if isinstance(time, str) else time
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
+
+
 def latency(first: Column, second: Column) -> Column:
     return second - first
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.predicates import words
+from sextant.functions.scalars import micros
 
 
 def value_counts(rows: DataFrame, field: str) -> DataFrame:
@@ -107,5 +108,5 @@ def all_equal(c: str) -> Column:
 
 def rate(rows: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
     """Rows per second between the first start and the last end (timestamps)."""
-    seconds = (F.unix_micros(F.max(end)) - F.unix_micros(F.min(start))) / 1e6
+    seconds = (micros(F.max(end)) - micros(F.min(start))) / 1e6
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.when(seconds > 0, F.count("*") / seconds).alias("per_second"))

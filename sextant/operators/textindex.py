@@ -105,8 +105,9 @@ def alarms(rows: DataFrame, key: str, columns: Sequence[str], alarm_words: Seque
     cells = rows.select(key, F.explode(listed).alias("cell")).select(key, "cell.field", "cell.text")
     places = F.filter(F.array(*[F.struct(F.locate(f" {w} ", F.col("text")).alias("at"), F.lit(w).alias("word")) for w in upper]), lambda s: s["at"] > 0)
     found = cells.select(key, "field", F.array_sort(places).alias("s")).where(F.size("s") == 2)
-    distance = F.col("s")[1]["at"] - F.col("s")[0]["at"] - F.length(F.col("s")[0]["word"])
-    pair = [F.col("s")[i]["word"] for i in (0, 1)]
+    one, two = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    distance = two["at"] - one["at"] - F.length(one["word"])
+    pair = [one["word"], two["word"]]
     return found.select(key, F.least(*pair).alias("word1"), F.greatest(*pair).alias("word2"), "field", distance.alias("distance"))
 
 

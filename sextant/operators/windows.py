@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.functions.scalars import micros
+
 
 def neighbours(rows: DataFrame, by: Sequence[str], time: str, tie: str) -> DataFrame:
     """The previous and next time in each series; the series' own ends where there is none."""
@@ -17,7 +19,7 @@ def neighbours(rows: DataFrame, by: Sequence[str], time: str, tie: str) -> DataF
 def gap_sessions(rows: DataFrame, by: Sequence[str], time: str, gap: float, sums: dict[str, Column]) -> DataFrame:
     """Bursts: a new one begins where the gap to the last row is ``gap`` seconds or more."""
     order = Window.partitionBy(*by).orderBy(time)
-    step = F.unix_micros(time) - F.unix_micros(F.lag(time).over(order))
+    step = micros(time) - micros(F.lag(time).over(order))
     flagged = rows.withColumn("_new", F.when(step >= int(gap * 1e6), 1).otherwise(0))
     numbered = flagged.withColumn("session", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"), *[c.alias(k) for k, c in sums.items()])
@@ -42,7 +44,7 @@ def clock(rows: DataFrame, by: Sequence[str], line: str, local: str, sync: str)
 
 def bins(rows: DataFrame, time: str, width: int, by: Sequence[str], value: str, name: str = "total", decimal: str = "decimal(18,2)") -> DataFrame:
     """Sums in equal bins of ``width`` seconds from a series' first row to its last; empty bins have 0."""
-    at = F.floor(F.unix_micros(time) / (width * 1_000_000))
+    at = F.floor(micros(time) / (width * 1_000_000))
     sums = rows.groupBy(*by, at.alias("bin")).agg(F.sum(F.col(value).cast(decimal)).alias(name))
     spine = sums.groupBy(*by).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b")).select(*by, F.explode(F.sequence("_a", "_b")).alias("bin"))
     return spine.join(sums, [*by, "bin"], "left").select(*by, "bin", F.coalesce(name, F.lit(0)).cast("double").alias(name))
@@ -61,7 +63,7 @@ def tiers(ids: str, sizes: str, key: str, rows: DataFrame) -> DataFrame:
 def elapsed(rows: DataFrame, by: Sequence[str], time: str) -> DataFrame:
     """Seconds since each series' first row."""
     first = rows.groupBy(*by).agg(F.min(time).alias("_first"))
-    return rows.join(first, list(by)).withColumn("elapsed", (F.unix_micros(time) - F.unix_micros("_first")) / 1e6).drop("_first")
+    return rows.join(first, list(by)).withColumn("elapsed", (micros(time) - micros("_first")) / 1e6).drop("_first")
 
 
 def every_nth(rows: DataFrame, key: str, count: str, limit: int, n: int = 5, parts: int = 64) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with QUERIES and SQL.
-MODULES: tuple[str, ...] = ()
+MODULES = ("plans.search", "plans.analysis", "plans.assessment")
 
 
 def _all(name: str) -> dict:
