@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, scan, table
+from ._shared import col, fresh, scan, table
 
 #: Base rules: fewest words, and the largest percentage of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -107,13 +107,14 @@ def assess(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
     One scan without a shuffle. A null text counts as empty: no words, so it
     fails the base rules. Lines without a word are neither counted nor removed.
-    Repeated rows get equal values; other columns are not read.
+    Repeated rows get equal values; other columns are not read. A field whose
+    name is among ``keep`` gets underscores behind it.
     """
 
     def make():
         return lambda texts: list(zip(*map(judge, texts), strict=True)) if texts else [[] for _ in FIELDS]
 
-    return scan(docs, text, keep, FIELDS, make)
+    return scan(docs, text, keep, [(fresh(n, keep), kind) for n, kind in FIELDS], make)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +125,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents without their failed lines; ``n_chars`` follows the text."""
     keep = tuple(c for c in docs.columns if c != "text")
-    out = assess(docs, keep=keep).where("kept")
-    return out.select(*[col("clean_text").alias("text") if c == "text" else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
+    kept, clean = fresh("kept", keep), fresh("clean_text", keep)
+    out = assess(docs, keep=keep).where(col(kept))
+    return out.select(*[col(clean).alias(c) if c == "text" else F.length(col(clean)).cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 _MARK = "[" + "".join("\\" + c if c in "]\"')}" else c for c in LAST).replace("'", "''") + "]"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._shared import table
+from ._shared import cut, table
 
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
@@ -37,6 +37,7 @@ def sums(hist: DataFrame) -> DataFrame:
     needs the whole histogram; blocks are as many as the longest text over BLOCK.
     An empty histogram gives no rows.
     """
+    hist = cut(hist)  # it is read twice, and is as long as there are lengths
     blocked = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
