@@ -134,4 +134,4 @@ def uniform(seed: int, name: str, *keys: Column) -> Column:
 
 def shown(x: Column, digits: int = 3) -> Column:
     """A number as a report shows it; N/A for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("N/A"))
+    return F.when(x.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))

@@ -36,7 +36,7 @@ def schema_csv(spark: SparkSession, path: str) -> tuple[T.StructType, dict[str,
         name, kind = r["name"].strip(), r["type"].strip().upper()
         if name == "hash":
             continue
-        bare = kind.split("(")[0].strip() + (" UNSIGNED" if "UNSIGNED" in kind else "")
+        bare = kind.split("(")[0].replace("UNSIGNED", "").strip() + (" UNSIGNED" if "UNSIGNED" in kind else "")
         fields.append(T.StructField(name, T._parse_datatype_string(SCHEMA_TYPES.get(bare, "string"))))
         for t in (r["table"] or "base").strip().split(":"):
             tables.setdefault(t.strip(), []).append(name)
