@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -448,3 +446,79 @@ def dg_text(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def dg_xml(spark: SparkSession, d: str) -> DataFrame:
     return synth.xml(table(spark, d, "customer"), "c_custkey", [["c_name", "c_mktsegment"], ["c_nationkey"]])
+
+
+# -- more workload and index forms ------------------------------------------------------------------------
+
+
+@query()
+def a_stemcnt(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns that contain each stem."""
+    from sextant.operators import textindex
+
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+    return textindex.stems(textindex.keywords(turns, "id", ["text"]), textindex.suffix_stem).groupBy("stem").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT c_mktsegment AS qid, min(c_nationkey) AS value, count(*) FILTER (WHERE c_nationkey = m) AS n FROM (SELECT *, min(c_nationkey) OVER (PARTITION BY c_mktsegment) AS m FROM customer) GROUP BY 1")
+def wl_fish(spark: SparkSession, d: str) -> DataFrame:
+    """Open equality queries, each resolved to the smallest value among its matches."""
+    from sextant.operators.aggregates import fishing
+
+    m = table(spark, d, "customer").select(F.col("c_mktsegment").alias("qid"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("value"))
+    return fishing(m, "value").groupBy("qid", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.f || '+' || b.f AS fields, round(a.s * b.s, 9) AS share FROM (SELECT 'status' AS f, 1.0 / count(DISTINCT o_orderstatus) AS s FROM orders UNION ALL SELECT 'priority', 1.0 / count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'customer', 1.0 / count(DISTINCT o_custkey) FROM orders) a, (SELECT 'status' AS f, 1.0 / count(DISTINCT o_orderstatus) AS s FROM orders UNION ALL SELECT 'priority', 1.0 / count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'customer', 1.0 / count(DISTINCT o_custkey) FROM orders) b WHERE a.f < b.f AND a.s * b.s <= 0.05")
+def wl_comp(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of fields whose joint selectivity stays in a budget; a row a field, so a few rows."""
+    named = {"status": "o_orderstatus", "priority": "o_orderpriority", "customer": "o_custkey"}
+    counts = table(spark, d, "orders").agg(*[F.count_distinct(c).alias(f) for f, c in named.items()])
+    sel = counts.select(F.explode(F.create_map(*[x for f in named for x in (F.lit(f), F.lit(1.0) / F.col(f))])).alias("f", "s"))
+    a, b = sel.select(F.col("f").alias("fa"), F.col("s").alias("sa")), sel.select(F.col("f").alias("fb"), F.col("s").alias("sb"))
+    return a.join(b, F.col("fa") < F.col("fb")).where("sa * sb <= 0.05").select(F.concat_ws("+", "fa", "fb").alias("fields"), F.round(F.col("sa") * F.col("sb"), 9).alias("share"))
+
+
+@query("SELECT c_mktsegment, p.lo AS low, count(*) AS n FROM customer, (VALUES (0), (2000), (4000), (6000), (8000)) p(lo) WHERE c_acctbal BETWEEN lo AND lo + 2500 GROUP BY 1, 2")
+def wl_ta2(spark: SparkSession, d: str) -> DataFrame:
+    """Conjunctions of one equality and one range term, all at once: range hits join the equality term on the row."""
+    c = table(spark, d, "customer")
+    ranges = spark.createDataFrame([(k, k * 2000.0, k * 2000.0 + 2500) for k in range(5)], "qid long, low double, high double")
+    hits = W.evaluate_ranges(c, ranges, "c_custkey", "c_acctbal", 1000.0)
+    out = hits.join(c.select(F.col("c_custkey").alias("id"), "c_mktsegment"), "id").groupBy("c_mktsegment", "qid").agg(F.count("*").alias("n"))
+    return out.select("c_mktsegment", (F.col("qid") * 2000).cast("int").alias("low"), "n")
+
+
+@query("WITH x AS (SELECT l_partkey AS qid, abs(l_linenumber - l_quantity)::INTEGER AS distance FROM lineitem), n AS (SELECT qid, count(*) AS n FROM x GROUP BY 1) SELECT qid, distance, count(*) AS tier FROM x JOIN n USING (qid) WHERE n BETWEEN 10 AND 40 GROUP BY 1, 2")
+def wl_refprox(spark: SparkSession, d: str) -> DataFrame:
+    """Tier sizes by distance, in rank order, of the queries whose size is in the band."""
+    from sextant.operators.aggregates import by_distance
+
+    m = table(spark, d, "lineitem").select(F.col("l_partkey").alias("qid"), F.abs(F.col("l_linenumber") - F.col("l_quantity")).cast("int").alias("distance"))
+    good = W.counted(m).where("n between 10 and 40").select("qid")
+    return by_distance(m.join(good, "qid", "left_semi")).withColumnRenamed("n", "tier")
+
+
+@query("SELECT event_type, count(*) AS n_subs, CAST(sum(hits) AS BIGINT) AS n_hits FROM (SELECT t.event_type, t.user_id, (SELECT count(*) FROM events e WHERE e.event_type = t.event_type AND e.user_id = t.user_id) AS hits FROM (SELECT DISTINCT event_type, user_id FROM events) t) GROUP BY 1")
+def ps_gen(spark: SparkSession, d: str) -> DataFrame:
+    """Subscriptions generated from the publications' values, with their match counts."""
+    e = table(spark, d, "events")
+    subs = pubsub.generate(e, ["event_type", "user_id"])
+    hits = pubsub.match(e, subs, "event_id", ["event_type", "user_id"]).groupBy("sub").agg(F.count("*").alias("hits"))
+    kinds = subs.where("field = 'event_type'").select("sub", F.lower("value").alias("event_type"))
+    return kinds.join(hits, "sub", "left").groupBy("event_type").agg(F.count("*").alias("n_subs"), F.sum(F.coalesce("hits", F.lit(0))).alias("n_hits"))
+
+
+@query("SELECT p_type, max(p_size) AS widest, CAST(sum(p_size) AS BIGINT) AS clauses FROM part GROUP BY 1")
+def fn_expr_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Fan-in of the OR of sizes that each part type's subscription would have, from structured terms."""
+    terms = table(spark, d, "part").select(F.col("p_type").alias("sub"), F.col("p_partkey").alias("clause"), F.explode(F.sequence(F.lit(1), F.col("p_size"))).alias("term"))
+    shape = terms.groupBy("sub", "clause").agg(F.count("*").alias("terms")).groupBy("sub").agg(F.max("terms").cast("int").alias("widest"), F.sum("terms").alias("clauses"))
+    return shape.select(F.col("sub").alias("p_type"), "widest", "clauses")
+
+
+@query()
+def st_quant(spark: SparkSession, d: str) -> DataFrame:
+    from sextant.streaming import series
+
+    return series.quantiles(table(spark, d, "events"), "ts", "1 day", "value", [0.5, 0.9])
