@@ -57,17 +57,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sextant-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete what :func:`cut` wrote for ``df``; only for frames that nothing reads again."""
     spark = df.sparkSession
-    root = shared_dir(spark)
-    tops = {f[: f.index("/", f.index("/sextant-", len(root.split("://")[-1]) - 1) + 1)] for f in df.inputFiles() if "/sextant-" in f}
-    for top in tops:
-        path = spark._jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
