@@ -34,7 +34,7 @@ def stars(rows: DataFrame, bucket: str = "bucket", node: str = "node") -> DataFr
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for each node of ``edges`` (a, b); comp is the smallest node of its component.
 
-    Large-star and small-star steps in turn until nothing changes. Each step
+    Large-star and small-star steps in turn until all edges are stars. Each step
     gives a node one edge for each of its neighbours at most, so no neighbourhood
     is gathered anywhere; each round is written to the shared folder.
     """
@@ -42,24 +42,22 @@ def components(edges: DataFrame) -> DataFrame:
     def star(sym: DataFrame) -> DataFrame:
         return sym.groupBy("a").agg(F.min("b").alias("m"))
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every node has one edge as a child, or some as a root, not both."""
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(e.select("b", F.lit(0), F.lit(1)))
+        mixed_up = ends.groupBy("x").agg(F.sum("child").alias("c"), F.max("root").alias("r")).where("c > 1 or (c = 1 and r = 1)")
+        return mixed_up.isEmpty()
 
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    seen = state(now)
-    while seen[0]:
+    while not settled(now):
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         large = both.join(star(both).select("a", F.least("a", "m").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
         small = large.join(star(large), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(star(large).select("a", F.col("m").alias("b"))).where("a != b")
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         after = cut(small)
         discard(now)
-        now, was = after, seen
-        seen = state(now)
-        if seen == was:
-            break
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select("b", "b").distinct())
 
 

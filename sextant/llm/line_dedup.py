@@ -136,13 +136,15 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
             for part in slices(batch, 0, 2 << 20):
                 owner, pos, keys, sizes, hashed = [], [], [], [], []
                 for k, t in enumerate(part.column(0).to_pylist()):
-                    for p, line in enumerate((t or "").split("\n")):
-                        flat = normal(line)
-                        if flat:
-                            words = set(flat.split(b" "))  # each once, else common words make all long lines alike
+                    raw = (t or "").split("\n")
+                    for p, line in enumerate((t or "").lower().encode().translate(None, PUNCTUATION).split(b"\n")):
+                        # as normal() has it for a single line
+                        words = line.split() or raw[p].encode().split()
+                        if words:
                             owner.append(k)
                             pos.append(p)
-                            keys.append(blake2b(flat, digest_size=16).digest())
+                            keys.append(blake2b(b" ".join(words), digest_size=16).digest())
+                            words = set(words)  # each once, else common words make all long lines alike
                             sizes.append(len(words))
                             hashed += map(hashes.__getitem__, words)
                 if not owner:
