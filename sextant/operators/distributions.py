@@ -75,7 +75,7 @@ def lower_bounds(cumulated: DataFrame, low: float, high: float) -> DataFrame:
 
 def next_words(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(first, second, following, n): how often a word follows two others; sentence starts have empty words before."""
-    padded = F.concat(F.array(F.lit(""), F.lit("")), tokens)
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.struct(F.get(padded, i - 1).alias("first"), F.get(padded, i).alias("second"), F.get(padded, i + 1).alias("following"))))
-    cells = rows.where(F.size(tokens) > 0).select(at.alias("_p", "s")).select("s.first", "s.second", "s.following")
-    return cells.groupBy("first", "second", "following").agg(F.count("*").alias("n"))
+    rows = rows.select(tokens.alias("t")).where(F.size("t") > 0)
+    rows = rows.select(F.concat(F.array(F.lit(""), F.lit("")), "t").alias("p"), F.size("t").alias("n"))
+    beside = F.arrays_zip(*[F.slice("p", k, F.col("n")) for k in (1, 2, 3)])  # three shifted copies, side by side
+    return rows.select(F.inline(beside)).toDF("first", "second", "following").groupBy("first", "second", "following").agg(F.count("*").alias("n"))
