@@ -44,8 +44,10 @@ def traits(text: Column) -> Column:
     size = F.length(text) + 1
     step = lambda name, n: F.concat(F.lit(f"#{name}"), F.floor(F.log2(1 + 200 * n / size)).cast("string"))
     count = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
+    # single characters by plain search, which most texts leave at once
+    plain = lambda chars: reduce(lambda a, b: a + b, [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars])
     style = F.array(
-        step("symbols", count("#*$%&<>")), step("bars", count("|")), step("marks", count("!?")), step("digits", count("0-9")),
+        step("symbols", plain("#*$%&<>")), step("bars", plain("|")), step("marks", plain("!?")), step("digits", count("0-9")),
         step("capitals", count("A-ZÀ-ÖØ-Þ")), F.concat(F.lit("#length"), F.floor(F.log2(size)).cast("string")),
         step("distinct", 10 * F.size(words)),
     )
