@@ -1,10 +1,13 @@
 """Fuzzy line dedup over a corpus.
 
-Lines are normalised and get a SimHash of 64 bits. Two signatures that differ
-in at most 3 bits agree in two of five blocks of bits, whatever the 3 bits are
-(pigeonhole), so lines meet on each pair of blocks; those within 3 bits are
-candidates. Their edit similarity is verified on the normalised text, and one
-occurrence of each connected group of lines stays in the corpus.
+Lines are normalised. Those under SHORT characters meet by pigeonhole on pieces of
+their text, which loses no pair; those under MIDDLE meet in MinHash bands of
+3-grams, longer ones in bands of their words (``similar_lines``). Edit similarity
+is verified on the normalised text, and one occurrence of each connected group of
+lines stays in the corpus.
+
+``close_signatures`` is the narrower join of SimHash signatures of 64 bits: two
+that differ in at most 3 bits agree in two of five blocks of bits (pigeonhole).
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._neardup import Hashes, Same, classes, components
+from ._neardup import MIX_A, MIX_B, STEP, Hashes, Same, components, mixed, verified
 from ._shared import col, cut, fresh, slices, table
 
 SIMILARITY = 0.8
@@ -27,6 +30,19 @@ SIMILARITY = 0.8
 BITS, BLOCKS = 3, 5
 #: Signatures of one bucket that a task compares at once; larger buckets go on in blocks of this size.
 RUN = 2048
+#: Characters below which pieces find every pair, and below which 3-grams stand for words in the bands.
+SHORT, MIDDLE = 25, 80
+#: Bands and their MinHash values: two sets with Jaccard similarity 2/3, as after every fifth word
+#: is replaced, share a band with probability 0.975; with 0.8, always but once in 10^5.
+LINE_BANDS, LINE_ROWS = 40, 6
+#: Pairs of lines of MIDDLE or more go on if their SimHashes differ in no more bits: 2.7 standard deviations
+#: above what word sets with Jaccard similarity 0.6 differ in.
+FAR = 24
+#: Lengths that a bucket tells apart, by factors of GRADE; similar lines are at most WITHIN grades apart.
+GRADE, WITHIN = 1.05, 5
+#: Rows of a bucket whose pairs are all looked at.
+FEW = 32
+GATED, OPEN, SURE = 0, 1, 2
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -251,17 +267,195 @@ def close_signatures(sigs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) ->
     return found.where("chunk < 0").select("a", "b").union(paired.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long"))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+def pieces(text: str, least: float = SIMILARITY, short: int = SHORT) -> set[tuple[int, int, str]]:
+    """Keys (length, number, piece) of a short line; two with edit similarity ``least`` share one.
+
+    The shorter of a pair, of length n, falls into one piece more than there are
+    edits, so one stands in the longer near its own place (Li et al., Pass-Join).
+    """
+    longer, found = len(text), set()
+    for n in range(int(longer * least - 1e-9) if longer else 0, longer + 1):
+        edits, more = int(min(int(n / least + 1e-9), short - 1) * (1 - least) + 1e-9), longer - n
+        if n < edits + 1 or not n:
+            continue
+        edges = [n * i // (edits + 1) for i in range(edits + 2)]
+        for i in range(edits + 1):
+            low, size = edges[i], edges[i + 1] - edges[i]
+            first, last = max(0, low - i, low + more - (edits - i)), min(longer - size, low + i, low + more + edits - i)
+            found |= {(n, i, text[at : at + size]) for at in range(first, last + 1)}
+    return found
+
+
+def minhash(values: np.ndarray, starts: np.ndarray, bands: int = LINE_BANDS, rows: int = LINE_ROWS) -> np.ndarray:
+    """Band hashes (row, band) of the sets of hashes that begin at ``starts``; none may be empty."""
+    out = np.zeros((len(starts), bands), np.uint64)
+    values = mixed(values)
+    for k in range(bands * rows):
+        least = np.minimum.reduceat(mixed_once(values, k), starts)
+        out[:, k // rows] = mixed(out[:, k // rows] * STEP + least)
+    return out
+
+
+def mixed_once(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th order of hashes."""
+    x = (values ^ mixed(np.array([k + 1], np.uint64))) * MIX_A
+    return (x ^ x >> np.uint64(32)) * MIX_B
+
+
+def line_number(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def meetings(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
+    """(bucket, line, short) of every line with a word; the lowest byte of a bucket is the grade of the line's length.
+
+    ``line`` is the beginning of the line's key, ``short`` the normalised text where pieces decide, else null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = Hashes(), set()
+
+        def marked(values: list[np.ndarray], lines: list[int], sizes: list[int], family: int) -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.cumsum([len(v) for v in values])[:-1]]).astype(np.int64)
+            marks = minhash(np.concatenate(values), starts)
+            marks = mixed(marks + (np.arange(LINE_BANDS, dtype=np.uint64) + np.uint64(family * LINE_BANDS)))
+            grade = np.minimum(np.log(np.maximum(sizes, 1)) / np.log(GRADE), 255).astype(np.uint64)
+            bucket = (marks & ~np.uint64(255) | grade[:, None]).view(np.int64).ravel()
+            return batch_of(bucket, np.repeat(np.array(lines, np.int64), LINE_BANDS), None)
+
+        def batch_of(bucket, line, short) -> pa.RecordBatch:
+            short = pa.nulls(len(bucket), pa.string()) if short is None else pa.array(short, pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(line, pa.int64()), short], names=["bucket", "line", "short"])
+
+        for batch in batches:
+            for part in slices(batch, 0, 1 << 20):
+                grams, words, buckets, owners, shorts = ([], [], []), ([], [], []), [], [], []
+                for t in part.column(0).to_pylist():
+                    for raw in (t or "").split("\n"):
+                        flat = normal(raw)
+                        if not flat:
+                            continue
+                        line = line_number(blake2b(flat, digest_size=16).digest())
+                        if line in seen:
+                            continue
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen.add(line)
+                        item = flat.decode("utf-8", "replace")
+                        size = len(item)
+                        if size < SHORT:
+                            for key in pieces(item, least):
+                                buckets.append(int.from_bytes(blake2b(repr(key).encode(), digest_size=8).digest(), "big", signed=True))
+                                owners.append(line)
+                                shorts.append(item)
+                        if SHORT * least - 1 <= size < MIDDLE:
+                            codes = np.frombuffer(item.encode("utf-32-le"), np.uint32).astype(np.uint64)
+                            for kept, value in zip(grams, ((codes[:-2] * STEP + codes[1:-1]) * STEP + codes[2:], line, size), strict=True):
+                                kept.append(value)
+                        if size >= MIDDLE * least - 1:
+                            mine = np.fromiter(map(hashes.__getitem__, set(flat.split())), np.uint64)
+                            for kept, value in zip(words, (mine, line, size), strict=True):
+                                kept.append(value)
+                if buckets:
+                    yield batch_of(buckets, owners, shorts)
+                for family, kept in enumerate((grams, words)):
+                    if kept[0]:
+                        yield marked(*kept, family)
+
+    return docs.select(col(text).alias("text")).mapInArrow(run, "bucket long, line long, short string")
+
+
+def similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b, kind) between line numbers: SURE ones are similar, the others candidates, GATED ones if their SimHashes are near."""
+    rows = meetings(docs, id_col, text, least)
+    # a band's rows lie together whatever their grade, shorter lines first
+    group = F.shiftright("bucket", 8)
+    own = F.when(F.col("short").isNull(), group).otherwise(F.col("bucket"))
+    rows = rows.select(own.alias("own"), F.when(F.col("short").isNull(), F.col("bucket").bitwiseAND(F.lit(255))).otherwise(F.lit(-1)).cast("int").alias("grade"), "line", "short")
+    rows = rows.repartition("own", F.col("grade") < 0).sortWithinPartitions("own", "grade", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how, held, plain = Edits(least), None, int(np.log(MIDDLE) / np.log(GRADE)) + 1
+
+        def compare(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            own, grade, line = (part.column(i).to_numpy() for i in range(3))
+            a, b, kind = [], [], []
+            long = np.flatnonzero(grade >= 0)
+            o, g, n = own[long], grade[long], line[long]
+            starts = np.flatnonzero(np.append(True, o[1:] != o[:-1])) if len(o) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(o)))
+            small = np.repeat(sizes <= FEW, sizes)
+            # every pair of a small bucket; a large one is chained and so stays together whatever its signatures are
+            for d in range(1, FEW):
+                at = np.arange(max(0, len(n) - d))
+                at = at[(o[at] == o[at + d]) & (small[at] | (d == 1))]
+                if not len(at):
+                    break
+                at = at[(g[at + d] - g[at] <= WITHIN) & (n[at] != n[at + d])]
+                a.append(n[at])
+                b.append(n[at + d])
+                kind.append(np.where(small[at] & (g[at] >= plain), GATED, OPEN))
+            few = np.flatnonzero(grade < 0)
+            cuts = np.flatnonzero(np.diff(own[few])) + 1
+            texts = part.column(3)
+            pairs = []
+            for at in np.split(few, cuts):
+                if len(at) < 2:
+                    continue
+                mine = dict(zip(line[at].tolist(), texts.take(pa.array(at)).to_pylist(), strict=True))
+                names = sorted(mine, key=lambda k: len(mine[k]))
+                for i, x in enumerate(names):
+                    for y in names[i + 1 :]:
+                        if len(mine[x]) < len(mine[y]) * least - 1e-9:
+                            break
+                        if how.same((mine[x], None, None), (mine[y], None, None)):
+                            pairs.append((x, y))
+            if pairs:
+                more = np.array(pairs, np.int64)
+                a.append(more[:, 0])
+                b.append(more[:, 1])
+                kind.append(np.full(len(more), SURE))
+            a, b, kind = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, kind))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind.astype(np.int32))], names=["a", "b", "kind"])
+
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+            own = held.column(0).to_numpy()
+            last = int(np.searchsorted(own, own[-1]))  # buckets are in order
+            if last:
+                yield from compare(held.slice(0, last).combine_chunks())
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from compare(held.combine_chunks())
+
+    found = rows.mapInArrow(run, "a long, b long, kind int")
+    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind").groupBy("a", "b").agg(F.max("kind").alias("kind")))
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, bits: int | None = BITS, blocks: int = BLOCKS) -> DataFrame:
     """(id, doc, n_lines, removed): lines with words, and the positions of those that go."""
     rows = cut(lines_of(docs, id_col, text))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "doc", "pos")
     distinct = rows.groupBy("key").agg(F.min(place).alias("place"), F.any_value("sig").alias("sig"))
-    distinct = cut(distinct.select("key", "place", "sig", F.monotonically_increasing_id().alias("node")))
-    groups = components(close_signatures(distinct.select("sig").distinct(), bits, blocks)).toDF("sig", "comp")
-    tied = distinct.select("node", "sig", "place").join(groups, "sig", "left").select("node", "place", F.coalesce("comp", "sig").alias("by"))
-    several = tied.groupBy("by").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("by", "comp")
-    wanted = cut(tied.join(several, "by").select("node", "comp", "place"))
-    joint = classes(_items(docs, wanted, id_col, text), lambda: Edits(least))
+    distinct = cut(distinct.select("key", "place", "sig", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("node")))
+    sure = None
+    if bits is None:
+        found = similar_lines(docs, id_col, text, least)
+        sure = found.where(F.col("kind") == SURE).select("a", "b")
+        sigs = distinct.select("node", "sig")
+        held = found.where(F.col("kind") == GATED).join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
+        held = held.where(F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= FAR).select("a", "b")
+        linked = components(found.where(F.col("kind") == OPEN).select("a", "b").union(held))
+        wanted = cut(distinct.select("node", "place").join(linked, "node").select("node", "comp", "place"))
+    else:
+        groups = components(close_signatures(distinct.select("sig").distinct(), bits, blocks)).toDF("sig", "comp")
+        tied = distinct.select("node", "sig", "place").join(groups, "sig", "left").select("node", "place", F.coalesce("comp", "sig").alias("by"))
+        several = tied.groupBy("by").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("by", "comp")
+        wanted = cut(tied.join(several, "by").select("node", "comp", "place"))
+    edges = verified(_items(docs, wanted, id_col, text), lambda: Edits(least))
+    joint = components(edges if sure is None else edges.union(sure))
     named = distinct.join(joint, "node", "left").select("key", "place", F.coalesce("comp", "node").alias("comp"))
     best = named.groupBy("comp").agg(F.min("place").alias("best"))
     stays = named.select("key", "comp").join(best, "comp").select("key", "best")
@@ -301,6 +495,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **o
     where they are. Rows with equal ids and texts are one document and get equal
     results; null texts stay null, null ids come last. Documents are never
     dropped: one that loses every line has an empty text.
+
+    With ``bits=None``, as op1_line_dedup and the pipeline call it, lines meet by
+    ``similar_lines``: all pairs under SHORT characters, longer ones by MinHash with
+    the recall that the README gives. With a number of ``bits``, only pairs whose
+    SimHashes differ in no more bits are candidates, so that most similar lines stay.
     """
     gone = removals(docs, id_col, text, **options).toDF("gone_id", "gone_doc", "gone_lines", "gone")
     names = docs.columns
@@ -318,13 +517,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **o
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, how many of them go, and a digest of what is left."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), bits=None)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the lines that stay; those left without a word go."""
-    out = dedup_lines(docs).where(col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = dedup_lines(docs, bits=None).where(col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 

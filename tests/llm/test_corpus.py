@@ -153,6 +153,51 @@ def test_line_dedup_against_brute_force(docs):
         assert got[r.doc_id].text == want
 
 
+def test_line_dedup_against_ungated_similarity(spark, docs):
+    """What op1_line_dedup and the pipeline call, against edit similarity alone."""
+    random.seed(9)
+    words = ["".join(random.choice("abcdefghij") for _ in range(random.randint(3, 8))) for _ in range(300)]
+    made = []
+    for n in (2, 3, 4, 6, 10, 20, 50):
+        for _ in range(12):
+            line = random.choices(words, k=n)
+            other = list(line)
+            for _ in range(max(1, n // 10)):  # a word replaced in ten, or one added
+                if n > 4:
+                    other[random.randrange(n)] = random.choice(words)
+            made += [" ".join(line), " ".join(other) if n > 4 else " ".join(line) + random.choice("xyz")]
+    rows = [(-1 - k, line) for k, line in enumerate(made)] + [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    first, norm = {}, {}
+    for d, text in sorted(rows):
+        for p, line in enumerate(text.split("\n")):
+            if flat := line_dedup.normal(line):
+                first.setdefault(flat, (d, p))
+    keys, how = sorted(first, key=first.get), line_dedup.Edits()
+    ready = [how.prepare(k.decode()) for k in keys]
+    root = groups(len(keys), lambda i, j: how.same(ready[i], ready[j]))
+    gone = {first[keys[i]] for i, g in enumerate(root) if i != g}
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, p) for r in line_dedup.removals(whole, bits=None).collect() for p in r.removed}
+    firsts = set(first.values())
+    assert len(gone - got) <= 0.02 * len(gone) and not (got & firsts) - gone and len(gone) > 60
+    few = {first[keys[i]] for i, g in enumerate(root) if i != g and len(keys[i]) < line_dedup.SHORT and len(keys[g]) < line_dedup.SHORT}
+    assert few and few <= got
+    gated = {(r.id, p) for r in line_dedup.removals(whole).collect() for p in r.removed}
+    assert len(gone - gated) > 0.5 * len(gone)  # what SimHash within 3 bits lost
+
+
+def test_pieces_find_every_short_pair():
+    random.seed(10)
+    how, alike = line_dedup.Edits(), 0
+    for _ in range(20000):
+        a = "".join(random.choice("abc") for _ in range(random.randint(1, 24)))
+        b = "".join(c if random.random() < 0.85 else random.choice(["", "a", c + "b"]) for c in a)[:24]
+        if b and how.same(how.prepare(a), how.prepare(b)):
+            alike += 1
+            assert line_dedup.pieces(a) & line_dedup.pieces(b), (a, b)
+    assert alike > 3000
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines_", "n_removed"]  # the first name was taken
