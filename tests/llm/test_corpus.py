@@ -230,6 +230,35 @@ def test_passages_of_fifty_words(docs):
     assert len(repeated - got) <= 0.05 * len(repeated) and repeated
 
 
+def test_passages_that_cuts_miss(spark, docs):
+    """Every stretch of 50 words in two documents is overlapped wherever it starts and ends, and planted ones are reported whole."""
+    random.seed(12)
+    words = ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    made = []
+    for k in range(40):
+        passage = random.choices(words, k=50)
+        for d in range(2):
+            before, after = random.choices(words, k=random.randint(5, 60)), random.choices(words, k=random.randint(5, 60))
+            made.append((10_000 + 2 * k + d, " ".join(before + passage + after), len(before)))
+    planted = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in paragraphs.repeats(planted).collect():
+        got[r.doc_id].append((r.first_word, r.n_words, r.n_removed))
+    # a word more where hosts agree by chance; single words are paragraphs, too
+    assert all(len(got[d]) == 1 and got[d][0][0] in (first - 1, first) and 50 <= got[d][0][1] <= 52 for d, _, first in made)
+    assert all(got[d][0][2] >= 50 if d % 2 else got[d][0][2] <= 2 for d, _, _ in made)
+    spots = defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        flat = r.text.lower().encode().split()
+        for i in range(len(flat) - 49):
+            spots[tuple(flat[i : i + 50])].append((r.doc_id, i))
+    found = defaultdict(list)
+    for r in paragraphs.repeats(docs).collect():
+        found[r.doc_id].append((r.first_word, r.first_word + r.n_words))
+    repeated = [x for s in spots.values() if len({d for d, _ in s}) > 1 for x in s]
+    assert repeated and all(any(a < i + 50 and i < b for a, b in found[d]) for d, i in repeated)
+
+
 def test_mix_nears_its_targets(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = mixing.mix(docs, labels).collect()
