@@ -437,10 +437,11 @@ def dg_row(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dg_text(spark: SparkSession, d: str) -> DataFrame:
-    """A text for each customer from the documents' two-word model."""
+    """A text for each customer from the documents' whole two-word model; a fifth have one alarm word or two."""
     docs = table(spark, d, "documents")
     model = D.next_words(docs, "doc_id", F.filter(F.split("text", " "), lambda w: w != ""))
-    return synth.texts(table(spark, d, "customer").select("c_custkey"), model, "c_custkey", 120, 3, 60000)
+    made = synth.texts(table(spark, d, "customer").select("c_custkey"), model, "c_custkey", 120, 3)
+    return made.select("c_custkey", synth.with_alarms(F.col("text"), F.col("c_custkey"), ["FIRE", "SMOKE", "WATER"], 3).alias("text"))
 
 
 @query()

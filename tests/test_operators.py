@@ -166,6 +166,26 @@ def test_permutation_and_fields(spark):
     assert 0.7 < sum("FIRE" not in r.t and "WATER" not in r.t for r in marked) / 400 < 0.9
 
 
+def test_texts_draw_from_the_whole_model(spark):
+    """More transitions than the 60,000 that were kept once; the last of the alphabet come too."""
+    rare = spark.range(70_000).select(F.lit("").alias("first"), F.lit("").alias("second"), F.format_string("w%05d", "id").alias("following"), F.lit(1).cast("long").alias("n"))
+    got = [int(r.text[1:6]) for r in synth.texts(spark.range(2000), rare, "id", 6 + 1, 1).collect()]
+    assert len(got) == 2000 and 0.1 < sum(w >= 60_000 for w in got) / 2000 < 0.19
+    pairs = frame(spark, [("", "", "a", 3), ("", "", "b", 1), ("", "a", "x", 40), ("", "a", "y", 120), ("", "b", "z", 1)], "first string, second string, following string, n long")
+    said = Counter(r.text for r in synth.texts(spark.range(2000), pairs, "id", 4, 1).collect())
+    assert set(said) == {"a x", "a y", "b z"} and all(abs(said[t] / 2000 - p) < 0.04 for t, p in (("a x", 0.1875), ("a y", 0.5625), ("b z", 0.25)))
+
+
+def test_query_of_texts_has_alarms(spark):
+    from harness import DATA
+
+    from sextant import registry
+
+    made = [r.text for r in registry.queries()["dg_text"](spark, DATA).collect()]
+    count = Counter(sum(w in ("FIRE", "SMOKE", "WATER") for w in t.split()) for t in made)
+    assert set(count) == {0, 1, 2} and 0.65 < count[0] / len(made) < 0.95
+
+
 # -- sources ------------------------------------------------------------------------------------------------
 
 
