@@ -1,20 +1,23 @@
 """Fuzzy line dedup over a corpus.
 
-Lines are normalised. Those under SHORT characters meet by pigeonhole on pieces of
-their text, which loses no pair; those under MIDDLE meet in MinHash bands of
-3-grams, longer ones in bands of their words (``similar_lines``). Edit similarity
-is verified on the normalised text, and one occurrence of each connected group of
-lines stays in the corpus.
-
-``close_signatures`` is the narrower join of SimHash signatures of 64 bits: two
-that differ in at most 3 bits agree in two of five blocks of bits (pigeonhole).
+Lines are normalised and signed with a SimHash. To join them, the words of a line
+are dealt to blocks by their hash: an edited word touches the block it leaves and
+the one it comes to, so that lines with few edits agree in a block (pigeonhole).
+The number of blocks follows the number of words at two scales, so lines of near
+lengths always share one. Lines that agree in a block and whose SimHashes differ
+in FAR bits at most are candidates; edit similarity is verified on the normalised
+text, and one occurrence of each connected group of lines stays in the corpus.
+
+Words are too coarse for lines under MIDDLE characters: those meet in MinHash
+bands of 3-grams, under SHORT characters by pigeonhole on pieces of their text,
+which loses no pair.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,28 +25,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._neardup import MIX_A, MIX_B, STEP, Hashes, Same, components, mixed, verified
-from ._shared import col, cut, fresh, slices, table
+from ._shared import col, cut, discard, fresh, slices, table
 
 SIMILARITY = 0.8
-#: Differing bits; blocks, of which a pair that differs so little shares BLOCKS - BITS. More
-#: blocks give more, longer and so rarer keys with the same candidates: 6 suits some 10^10 lines.
-BITS, BLOCKS = 3, 5
-#: Signatures of one bucket that a task compares at once; larger buckets go on in blocks of this size.
+#: Rows of one bucket that a task compares at once; larger buckets go on in blocks of this size.
 RUN = 2048
-#: Characters below which pieces find every pair, and below which 3-grams stand for words in the bands.
+#: Characters below which pieces find every pair, and below which 3-grams stand for words.
 SHORT, MIDDLE = 25, 80
-#: Bands and their MinHash values: two sets with Jaccard similarity 2/3, as after every fifth word
-#: is replaced, share a band with probability 0.975; with 0.8, always but once in 10^5.
+#: Words of a block at the coarser scale, at the least. Blocks of fewer than LEAST_BLOCK words say too little to
+#: join by; lines under FEW_WORDS, which have few blocks, join by blocks of one word less, too.
+BLOCK_WORDS, LEAST_BLOCK, FEW_WORDS = 5, 4, 25
+#: Bands of 3-grams and their MinHash values: two sets with Jaccard similarity 2/3 share a band with
+#: probability 0.975; with 0.8, always but once in 10^5.
 LINE_BANDS, LINE_ROWS = 40, 6
-#: Pairs of lines of MIDDLE or more go on if their SimHashes differ in no more bits: 2.7 standard deviations
-#: above what word sets with Jaccard similarity 0.6 differ in.
-FAR = 24
-#: Lengths that a bucket tells apart, by factors of GRADE; similar lines are at most WITHIN grades apart.
-GRADE, WITHIN = 1.05, 5
-#: Rows of a bucket whose pairs are all looked at.
+#: Candidates' SimHashes differ in no more bits: two standard deviations above what word sets with
+#: Jaccard similarity 0.6 differ in.
+FAR = 22
+#: Rows of a bucket whose pairs are all looked at together with other buckets'.
 FEW = 32
-GATED, OPEN, SURE = 0, 1, 2
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: The bits of a byte, one in each byte of a number.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
 
 
 def normal(line: str) -> bytes:
@@ -52,20 +54,44 @@ def normal(line: str) -> bytes:
     return b" ".join(words or line.encode().split())
 
 
-def simhash(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit signatures of the rows of word hashes that begin at ``starts``; none may be empty."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    lengths = np.diff(np.append(starts, len(words)))
-    return np.packbits(2 * sums > lengths[:, None], axis=1).copy().view(np.int64).ravel()
+def simhash(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit signatures of the rows of hashes that begin at ``starts``; none may be empty.
 
-
-def masks(bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
-    """For each choice of blocks - bits blocks, the mask of their bits as a signed number."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    whole = [sum(choice) for choice in combinations(parts, blocks - bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in whole]
+    Eight bits are counted in the bytes of one number, 255 hashes at a time.
+    """
+    lengths = np.diff(np.append(starts, len(hashes)))
+    spread = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)]
+    pieces_of = -(-lengths // 255)
+    first = np.cumsum(pieces_of) - pieces_of
+    within = np.arange(int(pieces_of.sum())) - np.repeat(first, pieces_of)
+    counts = np.add.reduceat(spread, np.repeat(starts, pieces_of) + 255 * within, axis=0).view(np.uint8).reshape(-1, 64)
+    if len(counts) > len(starts):
+        counts = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * counts.astype(np.int32) > lengths[:, None], axis=1).copy().view(np.int64).ravel()
+
+
+def dealt(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the blocks of the rows of distinct word hashes that begin at ``starts``.
+
+    A row of n words is dealt to the power of two of blocks that leaves BLOCK_WORDS
+    to each at the least, and to twice as many; a key is its block's words.
+    """
+    sizes = np.diff(np.append(starts, len(hashes)))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place, rows, keys = mixed(hashes ^ MIX_A).astype(np.int64), [], []
+    coarse = np.left_shift(1, np.floor(np.log2(np.maximum(sizes / BLOCK_WORDS, 1))).astype(np.int64))
+    for blocks in (coarse, 2 * coarse):
+        base = np.cumsum(blocks) - blocks
+        at = base[row] + (place & (blocks - 1)[row])
+        count = np.bincount(at, minlength=int(blocks.sum()))
+        words = np.zeros(len(count), np.uint64)
+        np.add.at(words, at, hashes)
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        number = np.arange(len(count)) - base[owner] + blocks[owner]  # tells scales and blocks apart
+        good = count >= LEAST_BLOCK - (sizes < FEW_WORDS)[owner]
+        rows.append(owner[good])
+        keys.append(mixed(words[good] * STEP ^ mixed(number[good].astype(np.uint64))))
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
 class Edits(Same):
@@ -141,39 +167,144 @@ def handle(id_col: str, text: str) -> Column:
     return F.xxhash64(col(id_col), col(text))
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, doc, pos, key, sig) of every line with a word."""
+def pieces(text: str, least: float = SIMILARITY, short: int = SHORT) -> set[tuple[int, int, str]]:
+    """Keys (length, number, piece) of a short line; two with edit similarity ``least`` share one.
+
+    The shorter of a pair, of length n, falls into one piece more than there are
+    edits, so one stands in the longer near its own place (Li et al., Pass-Join).
+    """
+    longer, found = len(text), set()
+    for n in range(int(longer * least - 1e-9) if longer else 0, longer + 1):
+        edits, more = int(min(int(n / least + 1e-9), short - 1) * (1 - least) + 1e-9), longer - n
+        if n < edits + 1 or not n:
+            continue
+        edges = [n * i // (edits + 1) for i in range(edits + 2)]
+        for i in range(edits + 1):
+            low, size = edges[i], edges[i + 1] - edges[i]
+            first, last = max(0, low - i, low + more - (edits - i)), min(longer - size, low + i, low + more + edits - i)
+            found |= {(n, i, text[at : at + size]) for at in range(first, last + 1)}
+    return found
+
+
+def minhash(values: np.ndarray, starts: np.ndarray, bands: int = LINE_BANDS, rows: int = LINE_ROWS) -> np.ndarray:
+    """Band hashes (row, band) of the sets of hashes that begin at ``starts``; none may be empty."""
+    out = np.zeros((len(starts), bands), np.uint64)
+    values = mixed(values)
+    for k in range(bands * rows):
+        least = np.minimum.reduceat(mixed_once(values, k), starts)
+        out[:, k // rows] = mixed(out[:, k // rows] * STEP + least)
+    return out
+
+
+def mixed_once(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th order of hashes."""
+    x = (values ^ mixed(np.array([k + 1], np.uint64))) * MIX_A
+    return (x ^ x >> np.uint64(32)) * MIX_B
+
+
+def grams(item: str) -> np.ndarray:
+    """Hashes of the distinct 3-grams of a text of three characters or more."""
+    codes = np.frombuffer(item.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return mixed(np.unique((codes[:-2] * STEP + codes[1:-1]) * STEP + codes[2:]))
+
+
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(id, doc, pos, node, more, sig, words, blocks, bands, item, pieces) of every line with a word.
+
+    ``node`` and ``more`` are 128 bits of a digest of the normalised line, ``sig``
+    its SimHash, of 3-grams for lines from SHORT to MIDDLE and else of words;
+    ``words`` has the SimHash of words of those that can be similar to lines on
+    either side of MIDDLE. The rest stands where a task first meets a line:
+    ``blocks`` to join SimHashes of words by, ``bands`` for those of 3-grams, and
+    ``pieces`` of the text ``item`` of short lines.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(col(text).alias("text"), col(id_col).alias("id"), handle(id_col, text).alias("doc"))
 
+    def listed(n: int, rows: np.ndarray, values: np.ndarray) -> pa.Array:
+        """A list for each of ``n`` rows, null where it has none; ``rows`` may come in any order."""
+        order = np.argsort(rows, kind="stable")
+        counts = np.bincount(rows, minlength=n)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(counts == 0, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(values[order], pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, seen = Hashes(), set()
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
-                owner, pos, keys, sizes, hashed = [], [], [], [], []
+                owner, pos, keys, news = [], [], [], []
+                flat, sizes, wide = [], [], []
+                short_rows, short_keys, items = [], [], {}
+                gram_rows, gram_values = [], []
                 for k, t in enumerate(part.column(0).to_pylist()):
                     raw = (t or "").split("\n")
                     for p, line in enumerate((t or "").lower().encode().translate(None, PUNCTUATION).split(b"\n")):
                         # as normal() has it for a single line
                         words = line.split() or raw[p].encode().split()
-                        if words:
-                            owner.append(k)
-                            pos.append(p)
-                            keys.append(blake2b(b" ".join(words), digest_size=16).digest())
-                            words = set(words)  # each once, else common words make all long lines alike
-                            sizes.append(len(words))
-                            hashed += map(hashes.__getitem__, words)
-                if not owner:
+                        if not words:
+                            continue
+                        row, joint = len(owner), b" ".join(words)
+                        key = blake2b(joint, digest_size=16).digest()
+                        owner.append(k)
+                        pos.append(p)
+                        keys.append(key)
+                        distinct = set(words)  # each once, else common words make all long lines alike
+                        sizes.append(len(distinct))
+                        flat += map(hashes.__getitem__, distinct)
+                        wide.append(len(joint) >= MIDDLE * least - 1)
+                        new = key not in seen
+                        news.append(new)
+                        if new:
+                            if len(seen) > 100_000:
+                                seen.clear()
+                            seen.add(key)
+                        if len(joint) >= 4 * MIDDLE:  # more characters than that in any writing
+                            continue
+                        item = joint.decode("utf-8", "replace")
+                        if max(3, SHORT * least - 1) <= len(item) < MIDDLE:
+                            gram_rows.append(row)
+                            gram_values.append(grams(item))
+                        if new and len(item) < SHORT:
+                            items[row] = item
+                            for piece in pieces(item, least):
+                                short_rows.append(row)
+                                short_keys.append(int.from_bytes(blake2b(repr(piece).encode(), digest_size=8).digest(), "big", signed=True))
+                n = len(owner)
+                if not n:
                     continue
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                sig = simhash(np.array(hashed, np.uint64), starts)
+                flat, sizes, new = np.array(flat, np.uint64), np.array(sizes, np.int64), np.array(news)
+                wide = np.array(wide)
+                starts = np.cumsum(sizes) - sizes
+                sig = simhash(flat, starts)
+                rows, marks = dealt(flat, starts)
+                by_gram, banded = np.zeros(n, np.int64), np.zeros(n, bool)
+                band_rows, bands = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if gram_rows:
+                    at = np.array(gram_rows, np.int64)
+                    lengths = np.array([len(v) for v in gram_values])
+                    grams_flat, gram_starts = np.concatenate(gram_values), np.cumsum(lengths) - lengths
+                    by_gram[at] = simhash(grams_flat, gram_starts)
+                    banded[at] = True
+                    first = np.flatnonzero(new[at])
+                    if len(first):
+                        chosen = np.repeat(new[at], lengths)
+                        band_rows = np.repeat(at[first], LINE_BANDS)
+                        bands = minhash(grams_flat[chosen], np.cumsum(lengths[first]) - lengths[first])
+                        bands = mixed(bands + np.arange(LINE_BANDS, dtype=np.uint64)).view(np.int64).ravel()
+                use = (new & wide)[rows]
+                digests = np.frombuffer(b"".join(keys), np.int64).reshape(n, 2)
                 take = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1).take(take), part.column(2).take(take), pa.array(pos, pa.int32()), pa.array(keys, pa.binary()), pa.array(sig)],
-                    names=["id", "doc", "pos", "key", "sig"],
-                )
+                    [
+                        part.column(1).take(take), part.column(2).take(take), pa.array(pos, pa.int32()),
+                        pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(np.where(banded, by_gram, sig)), pa.array(sig, mask=~(banded & wide)),
+                        listed(n, rows[use], marks[use]), listed(n, band_rows, bands),
+                        pa.array([items.get(i) for i in range(n)], pa.string()), listed(n, np.array(short_rows, np.int64), np.array(short_keys, np.int64)),
+                    ],
+                    names=["id", "doc", "pos", "node", "more", "sig", "words", "blocks", "bands", "item", "pieces"],
+                )
 
-    return narrow.mapInArrow(run, f"id {kind}, doc long, pos int, key binary, sig long")
+    return narrow.mapInArrow(run, f"id {kind}, doc long, pos int, node long, more long, sig long, words long, blocks array<long>, bands array<long>, item string, pieces array<long>")
 
 
 def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -201,267 +332,183 @@ def _spanning(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int]
     return a, b
 
 
-def close_signatures(sigs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Edges (a, b) that connect the distinct signatures ``sig`` within ``bits`` of each other.
-
-    One shuffle of (bucket, sig). Sorted buckets stream through a task; what a
-    bucket has beyond RUN goes on to a second step, by pairs of blocks.
+class Buckets:
+    """Compares the rows (bucket, node, item) of whole buckets; ``inside`` takes any number of
+    them in order, ``across`` two parts of one. Both return edges."""
+
+    def inside(self, bucket: np.ndarray, node: np.ndarray, item: list) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def across(self, left: tuple[np.ndarray, list], right: tuple[np.ndarray, list]) -> tuple[list, list]:
+        raise NotImplementedError
+
+
+class Near(Buckets):
+    """SimHashes, which are the nodes, within ``bits``."""
+
+    def __init__(self, bits: int = FAR) -> None:
+        self.bits = bits
+
+    def inside(self, bucket, node, item):
+        again = np.append(False, (bucket[1:] == bucket[:-1]) & (node[1:] == node[:-1]))
+        bucket, node = bucket[~again], node[~again]
+        joint = bucket[1:] == bucket[:-1]
+        several = np.append(joint, False) | np.append(False, joint)
+        bucket, node = bucket[several], node[several]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(bucket)))
+        small = np.repeat(sizes <= FEW, sizes)
+        a, b = [], []
+        for d in range(1, FEW):
+            at = np.flatnonzero((bucket[d:] == bucket[:-d]) & small[d:])
+            if not len(at):
+                break
+            at = at[_near(node[at], node[at + d], self.bits)]
+            a.append(node[at])
+            b.append(node[at + d])
+        for k in np.flatnonzero(sizes > FEW):
+            own = node[starts[k] : starts[k] + sizes[k]]
+            more = _spanning(own, own, self.bits)
+            a.append(np.array(more[0], np.int64))
+            b.append(np.array(more[1], np.int64))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(a or none), np.concatenate(b or none)
+
+    def across(self, left, right):
+        return _spanning(left[0], right[0], self.bits)
+
+
+class Alike(Buckets):
+    """Lines whose own texts, the items, have an edit similarity of ``least``."""
+
+    def __init__(self, least: float) -> None:
+        self.how = Edits(least)
+
+    def inside(self, bucket, node, item):
+        a, b = [], []
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        for start, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            if end - start > 1:
+                own = (node[start:end], item[start:end])
+                more = self.across(own, own)
+                a += more[0]
+                b += more[1]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def across(self, left, right):
+        a, b = [], []
+        mine, others = (dict(zip(x[0].tolist(), x[1], strict=True)) for x in (left, right))
+        by_length = sorted(others, key=lambda n: len(others[n]))
+        lengths = [len(others[n]) for n in by_length]
+        for n, text in mine.items():
+            for i in range(bisect_left(lengths, len(text) * self.how.least - 1e-9), bisect_right(lengths, len(text))):
+                m = by_length[i]
+                if n != m and self.how.same((text, None, None), (others[m], None, None)):
+                    a.append(n)
+                    b.append(m)
+        for m, text in others.items() if left is not right else ():  # the longer one may stand on either side
+            for n, other in mine.items():
+                if len(text) > len(other) and self.how.same((text, None, None), (other, None, None)):
+                    a.append(n)
+                    b.append(m)
+        return a, b
+
+
+def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
+    """Edges (a, b) between the rows (bucket, node, item) that meet in a bucket and pass.
+
+    One shuffle. Sorted buckets stream through a task; what a bucket has beyond
+    RUN goes on to a second step, by pairs of blocks, so that no task holds it.
     """
-    rows = sigs.select("sig", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("sig").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(bits, blocks))])).alias("bucket"))
-    rows = rows.select("bucket", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    rows = rows.select("bucket", "node", "item").repartition("bucket").sortWithinPartitions("bucket", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_b, held_s, chunk = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-        def out(a, b, k) -> pa.RecordBatch:
-            n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.full(n, k, np.int32))], names=["a", "b", "chunk"])
-
-        def compare(bucket: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            starts, ends = np.append(0, cuts), np.append(cuts, len(bucket))
-            small = np.repeat(ends - starts <= 32, ends - starts)
-            for d in range(1, 32):
-                same = (bucket[d:] == bucket[:-d]) & small[d:]
-                if not same.any():
-                    break
-                at = np.flatnonzero(same)
-                at = at[_near(sig[at], sig[at + d], bits)]
-                yield out(sig[at], sig[at + d], -1)
-            for k in np.flatnonzero(ends - starts > 32):
-                own = sig[starts[k] : ends[k]]
-                yield out(*_spanning(own, own, bits), -1)
+        how, held, chunk = make(), None, 0
+
+        def edges(found) -> pa.RecordBatch:
+            n = len(found[0])
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names=["a", "b", "item", "chunk"])
+
+        def later(part: pa.Table, k: int) -> pa.RecordBatch:
+            part = part.append_column("chunk", pa.array(np.full(part.num_rows, k, np.int32))).rename_columns(["a", "b", "item", "chunk"])
+            return part.combine_chunks().to_batches()[0]
+
+        def compare(part: pa.Table) -> pa.RecordBatch:
+            items = part.column(2).to_pylist() if part.column(2).null_count < part.num_rows else []
+            return edges(how.inside(part.column(0).to_numpy(), part.column(1).to_numpy(), items))
 
         for batch in batches:
-            held_b, held_s = np.append(held_b, batch.column(0).to_numpy()), np.append(held_s, batch.column(1).to_numpy())
-            last = int(np.searchsorted(held_b, held_b[-1]))  # buckets are in order
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+            bucket = held.column(0).to_numpy()
+            last = int(np.searchsorted(bucket, bucket[-1]))  # buckets are in order
             if last:
+                done = 0
                 if chunk:  # the rest of a large bucket
-                    end = int(np.searchsorted(held_b, held_b[0], "right"))
-                    yield out(held_b[:end], held_s[:end], chunk)
-                    held_b, held_s, last, chunk = held_b[end:], held_s[end:], last - end, 0
-                if last:
-                    yield from compare(held_b[:last], held_s[:last])
-                held_b, held_s = held_b[last:], held_s[last:]
-            while len(held_b) > RUN:
-                yield out(held_b[:RUN], held_s[:RUN], chunk)
-                held_b, held_s, chunk = held_b[RUN:], held_s[RUN:], chunk + 1
-        if len(held_b):
-            if chunk:
-                yield out(held_b, held_s, chunk)
-            else:
-                yield from compare(held_b, held_s)
-
-    found = cut(rows.mapInArrow(run, "a long, b long, chunk int"))
-    large = found.where("chunk >= 0").select(F.col("a").alias("bucket"), F.col("b").alias("sig"), "chunk")
+                    done = int(np.searchsorted(bucket, bucket[0], "right"))
+                    yield later(held.slice(0, done), chunk)
+                    chunk = 0
+                if last > done:
+                    yield compare(held.slice(done, last - done))
+                held = held.slice(last)
+            while held.num_rows > RUN:
+                yield later(held.slice(0, RUN), chunk)
+                held, chunk = held.slice(RUN), chunk + 1
+        if held is not None and held.num_rows:
+            yield later(held, chunk) if chunk else compare(held)
+
+    found = cut(rows.mapInArrow(run, "a long, b long, item string, chunk int"))
+    large = found.where("chunk is not null").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "item", "chunk")
     sizes = large.groupBy("bucket").agg((F.max("chunk") + 1).alias("n"))
     paired = large.join(sizes, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    paired = paired.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig")
+    paired = paired.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "item")
 
     def pair(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        chunk, sig = group.column("chunk").to_numpy(), group.column("sig").to_numpy()
-        a, b = _spanning(sig[chunk == i], sig[chunk == j], bits)
+        chunk, node, item = group.column("chunk").to_numpy(), group.column("node").to_numpy(), np.array(group.column("item").to_pylist(), object)
+        left = node[chunk == i], item[chunk == i].tolist()
+        a, b = make().across(left, left if i == j else (node[chunk == j], item[chunk == j].tolist()))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return found.where("chunk < 0").select("a", "b").union(paired.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long"))
-
-
-def pieces(text: str, least: float = SIMILARITY, short: int = SHORT) -> set[tuple[int, int, str]]:
-    """Keys (length, number, piece) of a short line; two with edit similarity ``least`` share one.
-
-    The shorter of a pair, of length n, falls into one piece more than there are
-    edits, so one stands in the longer near its own place (Li et al., Pass-Join).
-    """
-    longer, found = len(text), set()
-    for n in range(int(longer * least - 1e-9) if longer else 0, longer + 1):
-        edits, more = int(min(int(n / least + 1e-9), short - 1) * (1 - least) + 1e-9), longer - n
-        if n < edits + 1 or not n:
-            continue
-        edges = [n * i // (edits + 1) for i in range(edits + 2)]
-        for i in range(edits + 1):
-            low, size = edges[i], edges[i + 1] - edges[i]
-            first, last = max(0, low - i, low + more - (edits - i)), min(longer - size, low + i, low + more + edits - i)
-            found |= {(n, i, text[at : at + size]) for at in range(first, last + 1)}
-    return found
-
-
-def minhash(values: np.ndarray, starts: np.ndarray, bands: int = LINE_BANDS, rows: int = LINE_ROWS) -> np.ndarray:
-    """Band hashes (row, band) of the sets of hashes that begin at ``starts``; none may be empty."""
-    out = np.zeros((len(starts), bands), np.uint64)
-    values = mixed(values)
-    for k in range(bands * rows):
-        least = np.minimum.reduceat(mixed_once(values, k), starts)
-        out[:, k // rows] = mixed(out[:, k // rows] * STEP + least)
+    return found.where("chunk is null").select("a", "b").union(paired.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long"))
+
+
+def linked(rows: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
+    """(node, comp) of the lines that chains of similar lines connect; ``rows`` as :func:`lines_of`
+    has them, ``lines`` (node, more, sig, n) the distinct ones."""
+    none = F.lit(None).cast("string").alias("item")
+    by_words = rows.where("blocks is not null").select(F.explode("blocks").alias("bucket"), F.coalesce("words", "sig").alias("node"), none)
+    by_grams = rows.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("sig").alias("node"), none)
+    both = rows.where("words is not null and blocks is not null").select(F.col("sig").alias("a"), F.col("words").alias("b"))
+    close = components(bucket_links(by_words.union(by_grams), Near).union(both)).toDF("sig", "comp")
+    tied = cut(lines.select("node", "sig").join(close, "sig", "left").select("node", F.coalesce("comp", "sig").alias("by")))
+    several = tied.groupBy("by").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("by", "comp")
+    wanted = cut(tied.join(several, "by").select("node", "comp"))
+    place = rows.join(lines.select("node", "more"), ["node", "more"]).join(wanted, "node").groupBy("node", "comp").agg(F.min(F.struct("doc", "id", "pos")).alias("place"))
+    edges = verified(_items(docs, place, id_col, text), lambda: Edits(least))
+    short = bucket_links(rows.where("pieces is not null").select(F.explode("pieces").alias("bucket"), "node", "item"), lambda: Alike(least))
+    out = components(edges.union(short))
+    discard(tied)
+    discard(wanted)
     return out
 
 
-def mixed_once(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th order of hashes."""
-    x = (values ^ mixed(np.array([k + 1], np.uint64))) * MIX_A
-    return (x ^ x >> np.uint64(32)) * MIX_B
-
-
-def line_number(key: bytes) -> int:
-    return int.from_bytes(key[:8], "big", signed=True)
-
-
-def meetings(docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
-    """(bucket, line, short) of every line with a word; the lowest byte of a bucket is the grade of the line's length.
-
-    ``line`` is the beginning of the line's key, ``short`` the normalised text where pieces decide, else null.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
-
-        def marked(values: list[np.ndarray], lines: list[int], sizes: list[int], family: int) -> pa.RecordBatch:
-            starts = np.concatenate([[0], np.cumsum([len(v) for v in values])[:-1]]).astype(np.int64)
-            marks = minhash(np.concatenate(values), starts)
-            marks = mixed(marks + (np.arange(LINE_BANDS, dtype=np.uint64) + np.uint64(family * LINE_BANDS)))
-            grade = np.minimum(np.log(np.maximum(sizes, 1)) / np.log(GRADE), 255).astype(np.uint64)
-            bucket = (marks & ~np.uint64(255) | grade[:, None]).view(np.int64).ravel()
-            return batch_of(bucket, np.repeat(np.array(lines, np.int64), LINE_BANDS), None)
-
-        def batch_of(bucket, line, short) -> pa.RecordBatch:
-            short = pa.nulls(len(bucket), pa.string()) if short is None else pa.array(short, pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(line, pa.int64()), short], names=["bucket", "line", "short"])
-
-        for batch in batches:
-            for part in slices(batch, 0, 1 << 20):
-                grams, words, buckets, owners, shorts = ([], [], []), ([], [], []), [], [], []
-                for t in part.column(0).to_pylist():
-                    for raw in (t or "").split("\n"):
-                        flat = normal(raw)
-                        if not flat:
-                            continue
-                        line = line_number(blake2b(flat, digest_size=16).digest())
-                        if line in seen:
-                            continue
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        seen.add(line)
-                        item = flat.decode("utf-8", "replace")
-                        size = len(item)
-                        if size < SHORT:
-                            for key in pieces(item, least):
-                                buckets.append(int.from_bytes(blake2b(repr(key).encode(), digest_size=8).digest(), "big", signed=True))
-                                owners.append(line)
-                                shorts.append(item)
-                        if SHORT * least - 1 <= size < MIDDLE:
-                            codes = np.frombuffer(item.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                            for kept, value in zip(grams, ((codes[:-2] * STEP + codes[1:-1]) * STEP + codes[2:], line, size), strict=True):
-                                kept.append(value)
-                        if size >= MIDDLE * least - 1:
-                            mine = np.fromiter(map(hashes.__getitem__, set(flat.split())), np.uint64)
-                            for kept, value in zip(words, (mine, line, size), strict=True):
-                                kept.append(value)
-                if buckets:
-                    yield batch_of(buckets, owners, shorts)
-                for family, kept in enumerate((grams, words)):
-                    if kept[0]:
-                        yield marked(*kept, family)
-
-    return docs.select(col(text).alias("text")).mapInArrow(run, "bucket long, line long, short string")
-
-
-def similar_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b, kind) between line numbers: SURE ones are similar, the others candidates, GATED ones if their SimHashes are near."""
-    rows = meetings(docs, id_col, text, least)
-    # a band's rows lie together whatever their grade, shorter lines first
-    group = F.shiftright("bucket", 8)
-    own = F.when(F.col("short").isNull(), group).otherwise(F.col("bucket"))
-    rows = rows.select(own.alias("own"), F.when(F.col("short").isNull(), F.col("bucket").bitwiseAND(F.lit(255))).otherwise(F.lit(-1)).cast("int").alias("grade"), "line", "short")
-    rows = rows.repartition("own", F.col("grade") < 0).sortWithinPartitions("own", "grade", "line")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, held, plain = Edits(least), None, int(np.log(MIDDLE) / np.log(GRADE)) + 1
-
-        def compare(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            own, grade, line = (part.column(i).to_numpy() for i in range(3))
-            a, b, kind = [], [], []
-            long = np.flatnonzero(grade >= 0)
-            o, g, n = own[long], grade[long], line[long]
-            starts = np.flatnonzero(np.append(True, o[1:] != o[:-1])) if len(o) else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(starts, len(o)))
-            small = np.repeat(sizes <= FEW, sizes)
-            # every pair of a small bucket; a large one is chained and so stays together whatever its signatures are
-            for d in range(1, FEW):
-                at = np.arange(max(0, len(n) - d))
-                at = at[(o[at] == o[at + d]) & (small[at] | (d == 1))]
-                if not len(at):
-                    break
-                at = at[(g[at + d] - g[at] <= WITHIN) & (n[at] != n[at + d])]
-                a.append(n[at])
-                b.append(n[at + d])
-                kind.append(np.where(small[at] & (g[at] >= plain), GATED, OPEN))
-            few = np.flatnonzero(grade < 0)
-            cuts = np.flatnonzero(np.diff(own[few])) + 1
-            texts = part.column(3)
-            pairs = []
-            for at in np.split(few, cuts):
-                if len(at) < 2:
-                    continue
-                mine = dict(zip(line[at].tolist(), texts.take(pa.array(at)).to_pylist(), strict=True))
-                names = sorted(mine, key=lambda k: len(mine[k]))
-                for i, x in enumerate(names):
-                    for y in names[i + 1 :]:
-                        if len(mine[x]) < len(mine[y]) * least - 1e-9:
-                            break
-                        if how.same((mine[x], None, None), (mine[y], None, None)):
-                            pairs.append((x, y))
-            if pairs:
-                more = np.array(pairs, np.int64)
-                a.append(more[:, 0])
-                b.append(more[:, 1])
-                kind.append(np.full(len(more), SURE))
-            a, b, kind = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, kind))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind.astype(np.int32))], names=["a", "b", "kind"])
-
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-            own = held.column(0).to_numpy()
-            last = int(np.searchsorted(own, own[-1]))  # buckets are in order
-            if last:
-                yield from compare(held.slice(0, last).combine_chunks())
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield from compare(held.combine_chunks())
-
-    found = rows.mapInArrow(run, "a long, b long, kind int")
-    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind").groupBy("a", "b").agg(F.max("kind").alias("kind")))
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, bits: int | None = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """(id, doc, n_lines, removed): lines with words, and the positions of those that go."""
-    rows = cut(lines_of(docs, id_col, text))
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "doc", "pos")
-    distinct = rows.groupBy("key").agg(F.min(place).alias("place"), F.any_value("sig").alias("sig"))
-    distinct = cut(distinct.select("key", "place", "sig", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("node")))
-    sure = None
-    if bits is None:
-        found = similar_lines(docs, id_col, text, least)
-        sure = found.where(F.col("kind") == SURE).select("a", "b")
-        sigs = distinct.select("node", "sig")
-        held = found.where(F.col("kind") == GATED).join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
-        held = held.where(F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= FAR).select("a", "b")
-        linked = components(found.where(F.col("kind") == OPEN).select("a", "b").union(held))
-        wanted = cut(distinct.select("node", "place").join(linked, "node").select("node", "comp", "place"))
-    else:
-        groups = components(close_signatures(distinct.select("sig").distinct(), bits, blocks)).toDF("sig", "comp")
-        tied = distinct.select("node", "sig", "place").join(groups, "sig", "left").select("node", "place", F.coalesce("comp", "sig").alias("by"))
-        several = tied.groupBy("by").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("by", "comp")
-        wanted = cut(tied.join(several, "by").select("node", "comp", "place"))
-    edges = verified(_items(docs, wanted, id_col, text), lambda: Edits(least))
-    joint = components(edges if sure is None else edges.union(sure))
-    named = distinct.join(joint, "node", "left").select("key", "place", F.coalesce("comp", "node").alias("comp"))
-    best = named.groupBy("comp").agg(F.min("place").alias("best"))
-    stays = named.select("key", "comp").join(best, "comp").select("key", "best")
-    kept = F.col("doc").eqNullSafe(F.col("best.doc")) & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("pos") == F.col("best.pos"))
-    marked = rows.select("id", "doc", "pos", "key").join(stays, "key").select("id", "doc", "pos", kept.alias("kept"))
-    return marked.groupBy("id", "doc").agg(F.countDistinct("pos").alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("pos")))).alias("removed"))
+def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(id, doc, removed): the documents that lose lines, with these lines' positions."""
+    rows = cut(lines_of(docs, id_col, text, least))
+    # of two lines with the same first half of the digest, only the one with the smaller rest is joined with others
+    lines = cut(rows.groupBy("node").agg(F.min("more").alias("more"), F.any_value("sig").alias("sig"), F.count("*").alias("n")))
+    joint = linked(rows, lines, docs, id_col, text, least)
+    # most lines stand once and are like no other: only the rest is ordered
+    named = lines.select("node", "more", "n").join(joint, "node", "left").where("n > 1 or comp is not null")
+    touched = named.select("node", "more", F.coalesce("comp", "node").alias("comp"))
+    spots = cut(rows.select("id", "doc", "pos", "node", "more").join(touched, ["node", "more"]).select("id", "doc", "pos", "comp"))
+    best = spots.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "doc", "pos")).alias("best"))
+    stays = F.col("doc").eqNullSafe(F.col("best.doc")) & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("pos") == F.col("best.pos"))
+    out = cut(spots.join(best, "comp").where(~stays).groupBy("id", "doc").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
+    for done in (rows, lines, spots):
+        discard(done)
+    return out
 
 
 def _items(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -469,7 +516,7 @@ def _items(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFr
     asked = wanted.groupBy("place.id", "place.doc").agg(F.collect_list(F.struct("place.pos", "node", "comp")).alias("asked"))
     texts = docs.select(handle(id_col, text).alias("own"), col(id_col).alias("own_id"), col(text).alias("text"))
     # both sides grow with the corpus: the same join at every size
-    joined = texts.hint("merge").join(asked, (F.col("own") == F.col("doc")) & F.col("own_id").eqNullSafe(F.col("id"))).select("text", "asked")
+    joined = texts.join(asked.hint("shuffle_hash"), (F.col("own") == F.col("doc")) & F.col("own_id").eqNullSafe(F.col("id"))).select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,7 +533,7 @@ def _items(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFr
     return cut(joined.mapInArrow(run, "node long, comp long, item string").dropDuplicates(["node"]))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_removed`` (new names if these are taken).
 
     Of all lines of the corpus that a chain of edit similarities of ``least`` or
@@ -494,36 +541,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **o
     others go, in the same document as in others. Lines without a word stay
     where they are. Rows with equal ids and texts are one document and get equal
     results; null texts stay null, null ids come last. Documents are never
-    dropped: one that loses every line has an empty text.
+    dropped: one that loses every line has an empty text. An empty table gives
+    no rows.
 
-    With ``bits=None``, as op1_line_dedup and the pipeline call it, lines meet by
-    ``similar_lines``: all pairs under SHORT characters, longer ones by MinHash with
-    the recall that the README gives. With a number of ``bits``, only pairs whose
-    SimHashes differ in no more bits are candidates, so that most similar lines stay.
+    All similar pairs under SHORT characters are found, longer ones with the
+    recall that the README gives.
     """
-    gone = removals(docs, id_col, text, **options).toDF("gone_id", "gone_doc", "gone_lines", "gone")
     names = docs.columns
-    mine = [fresh(n, names) for n in ("gone_id", "gone_doc", "gone_lines", "gone", "n_lines", "n_removed", "own")]
-    gone = gone.toDF(*mine[:4])
-    n_lines, n_removed, own = mine[4:]
-    joined = docs.withColumn(own, handle(id_col, text)).hint("merge").join(gone, (F.col(own) == F.col(mine[1])) & col(id_col).eqNullSafe(F.col(mine[0])), "left")
+    mine = [fresh(n, names) for n in ("gone_id", "gone_doc", "gone", "n_lines", "n_removed", "own")]
+    gone_id, gone_doc, gone, n_lines, n_removed, own = mine
+    lost = removals(docs, id_col, text, least).toDF(gone_id, gone_doc, gone).hint("shuffle_hash")
+    joined = docs.withColumn(own, handle(id_col, text)).join(lost, (F.col(own) == F.col(gone_doc)) & col(id_col).eqNullSafe(F.col(gone_id)), "left")
     parts = F.split(col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(mine[3]))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     rebuilt = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    some = F.coalesce(F.size(F.col(mine[3])), F.lit(0)) > 0
+    some = F.col(gone).isNotNull()
     out = [F.when(some, rebuilt).otherwise(col(c)).alias(c) if c == text else col(c) for c in names]
-    return joined.select(*out, F.coalesce(F.col(mine[2]), F.lit(0)).alias(n_lines), F.when(some, F.size(F.col(mine[3]))).otherwise(0).cast("long").alias(n_removed))
+    lines = F.coalesce(F.regexp_count(col(text), F.lit(r"[^\n\x20\x09\x0B-\x0D][^\n]*")), F.lit(0)).cast("long")
+    return joined.select(*out, lines.alias(n_lines), F.when(some, F.size(F.col(gone))).otherwise(0).cast("long").alias(n_removed))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, how many of them go, and a digest of what is left."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), bits=None)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the lines that stay; those left without a word go."""
-    out = dedup_lines(docs, bits=None).where(col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = dedup_lines(docs).where(col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 

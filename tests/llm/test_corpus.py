@@ -119,38 +119,41 @@ def test_edit_distance():
 
 
 def test_signature_join_finds_all(spark, monkeypatch):
+    """SimHashes within 3 bits that meet in a bucket, also where a bucket goes on in pairs of blocks."""
     random.seed(7)
     base = [random.getrandbits(64) for _ in range(60)]
     sigs = sorted({b ^ sum(1 << random.randrange(64) for _ in range(random.randint(0, 3))) & (1 << 64) - 1 for b in base * 20})
     signed = [s - (1 << 64) if s >> 63 else s for s in sigs]
     want = groups(len(sigs), lambda i, j: (sigs[i] ^ sigs[j]).bit_count() <= 3)
-    for run in (2048, 3):  # the second sends all larger buckets through pairs of blocks
+    rows = spark.createDataFrame([(k, s, None) for s in signed for k in (0, s)] * 2, "bucket long, node long, item string")
+    for run in (2048, 100):  # the second sends the one large bucket through pairs of blocks
         monkeypatch.setattr(line_dedup, "RUN", run)
-        edges = line_dedup.close_signatures(spark.createDataFrame([(s,) for s in signed], "sig long"))
-        got = {r.node: r.comp for r in _neardup.components(edges).collect()}
+        got = {r.node: r.comp for r in _neardup.components(line_dedup.bucket_links(rows, lambda: line_dedup.Near(3))).collect()}
         assert len({got.get(s, s) for s in signed}) == len(set(want))
         assert all((got.get(signed[i], signed[i]) == got.get(signed[want[i]], signed[want[i]])) for i in range(len(sigs)))
 
 
-def test_line_dedup_against_brute_force(docs):
-    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
-    sigs = {r.key: r.sig for r in line_dedup.lines_of(docs).select("key", "sig").distinct().collect()}
-    first, norm = {}, {}
-    for r in rows:
-        for p, line in enumerate(r.text.split("\n")):
-            flat = line_dedup.normal(line)
-            if flat:
-                key = line_dedup.blake2b(flat, digest_size=16).digest()
-                first.setdefault(key, (r.doc_id, p))
-                norm[key] = flat.decode()
-    keys, how = sorted(first, key=first.get), line_dedup.Edits()
-    ready = [how.prepare(norm[k]) for k in keys]
-    near = lambda i, j: ((sigs[keys[i]] ^ sigs[keys[j]]) & (1 << 64) - 1).bit_count() <= 3 and how.same(ready[i], ready[j])
-    keep = {first[keys[g]] for g in groups(len(keys), near)}
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
-    for r in rows:
-        want = "\n".join(line for p, line in enumerate(r.text.split("\n")) if not line_dedup.normal(line) or (r.doc_id, p) in keep)
-        assert got[r.doc_id].text == want
+def test_short_lines_of_a_large_bucket(spark, monkeypatch):
+    random.seed(8)
+    items = sorted({"".join(random.choice("ab") for _ in range(random.randint(5, 9))) for _ in range(150)})
+    how = line_dedup.Edits()
+    want = groups(len(items), lambda i, j: how.same((items[i], None, None), (items[j], None, None)))
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(items)], "bucket long, node long, item string")
+    for run in (2048, 20):
+        monkeypatch.setattr(line_dedup, "RUN", run)
+        got = {r.node: r.comp for r in _neardup.components(line_dedup.bucket_links(rows, lambda: line_dedup.Alike(0.8))).collect()}
+        assert [got.get(i, i) for i in range(len(items))] == want
+
+
+def test_simhash_by_bytes_is_a_majority_of_bits():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 3, 254, 255, 256, 700, 2])
+    hashes = rng.integers(0, 1 << 63, int(sizes.sum())).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    got = line_dedup.simhash(hashes, starts)
+    for k, (a, n) in enumerate(zip(starts, sizes, strict=True)):
+        bits = np.unpackbits(hashes[a : a + n].view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+        assert (np.packbits(2 * bits > n).view(np.int64) == got[k]).all()
 
 
 def test_line_dedup_against_ungated_similarity(spark, docs):
@@ -177,13 +180,16 @@ def test_line_dedup_against_ungated_similarity(spark, docs):
     root = groups(len(keys), lambda i, j: how.same(ready[i], ready[j]))
     gone = {first[keys[i]] for i, g in enumerate(root) if i != g}
     whole = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.id, p) for r in line_dedup.removals(whole, bits=None).collect() for p in r.removed}
+    got = {(r.id, p) for r in line_dedup.removals(whole).collect() for p in r.removed}
     firsts = set(first.values())
     assert len(gone - got) <= 0.02 * len(gone) and not (got & firsts) - gone and len(gone) > 60
     few = {first[keys[i]] for i, g in enumerate(root) if i != g and len(keys[i]) < line_dedup.SHORT and len(keys[g]) < line_dedup.SHORT}
     assert few and few <= got
-    gated = {(r.id, p) for r in line_dedup.removals(whole).collect() for p in r.removed}
-    assert len(gone - gated) > 0.5 * len(gone)  # what SimHash within 3 bits lost
+    lines = {r.doc_id: r for r in line_dedup.dedup_lines(whole).collect()}
+    for d, text in rows:
+        parts = text.split("\n")
+        assert lines[d].text == "\n".join(x for p, x in enumerate(parts) if (d, p) not in got)
+        assert lines[d].n_lines == sum(bool(line_dedup.normal(x)) for x in parts)
 
 
 def test_pieces_find_every_short_pair():
