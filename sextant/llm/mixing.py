@@ -11,6 +11,7 @@ the driver is a few numbers for each domain.
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,21 +38,19 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def traits(text: Column) -> Column:
-    """What a document shows, as an array of distinct strings: its words, and its style in steps."""
+def words_in(text: Column) -> Column:
+    """The distinct words of a text in lower case, as runs of letters."""
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+
+
+def style(text: Column, words: Column) -> Column:
+    """What a text looks like, in steps, as an array of distinct strings; no word begins with #."""
     text = F.coalesce(text, F.lit(""))
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
     size = F.length(text) + 1
     step = lambda name, n: F.concat(F.lit(f"#{name}"), F.floor(F.log2(1 + 200 * n / size)).cast("string"))
-    count = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]"))
-    # single characters by plain search, which most texts leave at once
-    plain = lambda chars: reduce(lambda a, b: a + b, [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in chars])
-    style = F.array(
-        step("symbols", plain("#*$%&<>")), step("bars", plain("|")), step("marks", plain("!?")), step("digits", count("0-9")),
-        step("capitals", count("A-ZÀ-ÖØ-Þ")), F.concat(F.lit("#length"), F.floor(F.log2(size)).cast("string")),
-        step("distinct", 10 * F.size(words)),
-    )
-    return F.concat(words, style)
+    # one expression for all marks: each takes as long as taking the text apart into words
+    marks = F.regexp_count(text, F.lit("[#*$%&<>|!?0-9]"))
+    return F.array(step("marks", marks), step("distinct", 10 * F.size(words)), F.concat(F.lit("#length"), F.floor(F.log2(size)).cast("string")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", names: tuple[str, ...] = tuple(TARGETS), train_rows: int = TRAIN_ROWS) -> tuple[list[str], dict[str, list[float]], list[float]]:
@@ -65,8 +64,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     known = labels.select(col(id_col).alias("id"), domain(col("quality"), col("toxic")).alias("domain")).where(F.col("domain").isin(*names) & F.col("id").isNotNull())
     sample = known.distinct().orderBy(F.xxhash64("id"), "id", "domain").limit(train_rows)
     # the text is taken apart behind the join, where only the sample is left
-    shown = docs.select(col(id_col).alias("id"), col(text).alias("text")).join(F.broadcast(sample), "id").select("domain", traits(F.col("text")).alias("traits"))
-    shown = cut(shown)
+    shown = docs.select(col(id_col).alias("id"), col(text).alias("text")).join(F.broadcast(sample), "id").select("domain", "text", words_in(F.col("text")).alias("words"))
+    shown = cut(shown.select("domain", F.concat("words", style(F.col("text"), F.col("words"))).alias("traits")))
     sizes = {r["domain"]: r["n"] for r in shown.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = [sizes.get(d, 0) for d in names]
     whole = sum(n)
@@ -80,8 +79,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     model, constants = {}, []
     for r in best.collect():  # FEATURES rows at most
         model[r["trait"]] = [r[f"n{i}"] for i in range(len(names))]
-    from math import log
-
     p = {t: [(c[i] + 0.5) / (n[i] + 1.0) for i in range(len(names))] for t, c in model.items()}
     for i in range(len(names)):
         constants.append(log((n[i] + 1) / (whole + len(names))) + sum(log(1 - q[i]) for q in p.values()))
@@ -89,20 +86,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, own, n, p0, p1, ...): tokens and domain posteriors; rows with equal ids and texts are one."""
+    """(id, own, n, p0, p1, ...): tokens and domain posteriors of every row.
+
+    Traits meet the model, FEATURES rows at most, by 64-bit hashes; their weights
+    are whole billionths, so sums do not depend on their order. Rows with equal ids
+    and texts are summed together, pre-aggregated in each task, and told apart
+    again by their number, so a lost task changes nothing.
+    """
     names, weights, constants = model
-    spark = docs.sparkSession
     k = range(len(names))
-    rows = docs.select(col(id_col).alias("id"), handle(id_col, text).alias("own"), tokens(col(text)).alias("n"), traits(col(text)).alias("traits"))
-    if weights:
-        known = F.array(*[F.lit(t) for t in weights])
-        table_ = spark.createDataFrame([(t, *w) for t, w in weights.items()], "trait string, " + ", ".join(f"w{i} double" for i in k))
-        rows = rows.select("id", "own", "n", F.array_intersect("traits", known).alias("traits"), F.monotonically_increasing_id().alias("row"))
-        rows = rows.select("id", "own", "n", "row", F.explode_outer("traits").alias("trait")).join(F.broadcast(table_), "trait", "left")
-        rows = rows.groupBy("row").agg(F.any_value("id").alias("id"), F.any_value("own").alias("own"), F.any_value("n").alias("n"), *[F.coalesce(F.sum(F.round(f"w{i}", 9).cast("decimal(28,9)")), F.lit(0)).cast("double").alias(f"w{i}") for i in k])
-    else:
-        rows = rows.select("id", "own", "n", *[F.lit(0.0).alias(f"w{i}") for i in k])
-    score = [F.col(f"w{i}") + F.lit(constants[i] if weights else 0.0) for i in k]
+    rows = docs.select(col(id_col).alias("id"), handle(id_col, text).alias("own"), tokens(col(text)).alias("n"), col(text).alias("text"), words_in(col(text)).alias("words"))
+    every = [("#", *[0] * len(names), 1)]  # a trait of every row
+    table_ = docs.sparkSession.createDataFrame(every + [(t, *[round(x * 1e9) for x in w], 0) for t, w in weights.items()], "trait string, " + ", ".join(f"w{i} long" for i in k) + ", m int")
+    table_ = table_.withColumn("h", F.xxhash64("trait")).drop("trait")
+    shown = F.concat("words", style(F.col("text"), F.col("words")), F.array(F.lit("#"))).alias("shown")
+    met = rows.select("id", "own", "n", shown).select("id", "own", "n", F.explode_outer("shown").alias("trait")).select("id", "own", "n", F.xxhash64("trait").alias("h")).join(F.broadcast(table_), "h")
+    summed = met.groupBy("id", "own").agg(F.max("n").alias("n"), F.sum("m").cast("int").alias("m"), *[F.sum(f"w{i}").alias(f"w{i}") for i in k])
+    rows = summed.select("id", "own", "n", *[f"w{i}" for i in k], "m", F.explode(F.array_repeat(F.lit(1), F.col("m"))))
+    score = [F.col(f"w{i}") / F.col("m") / 1e9 + F.lit(constants[i] if weights else 0.0) for i in k]
     top = reduce(F.greatest, score) if len(score) > 1 else score[0]
     raw = [F.exp(s - top) for s in score]
     return rows.select("id", "own", "n", *[(r / sum(raw[1:], raw[0])).alias(f"p{i}") for i, r in enumerate(raw)])
@@ -130,8 +131,8 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return x
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[Column, list[float]]:
-    """(rate, reached): the rate as an expression over p0, p1, ..., and the domains' expected tokens.
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[Column, list[float], float]:
+    """(rate, reached, total): the rate as an expression over p0, p1, ..., the domains' expected tokens, and all tokens.
 
     Minimises the squared distance of the expected tokens from ``targets`` times
     the corpus's tokens, in the metric in which the rows with a positive rate
@@ -160,37 +161,46 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tupl
         now = rows.agg(*sums, *gram).first()
         reached = [float(now[f"s{i}"] or 0) for i in k]
         g = [[float(now[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in k] for i in k]
-    return rate, reached
+    return rate, reached, total
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """One row for each row of ``docs``: id, ``n_tokens``, ``p_<domain>``, ``rate``, ``copies`` (and ``own``, its handle).
+    """One row for each row of ``docs``: id, ``n_tokens``, ``p_<domain>``, ``rate``, ``copies``,
+    ``reached_<domain>`` (and ``own``, a handle of the row's id and text).
 
     ``rate`` is how often the document is to be taken, ``copies`` a whole number
-    with that mean, by a hash of the id. Rows with equal ids and texts get equal
-    values. Null and empty texts have no tokens; without labels all posteriors
-    are even; an empty table gives no rows. Targets that no rates can meet are
-    met as nearly as least squares allows.
+    with that mean, by a hash of the id. ``reached_<domain>`` is the share of the
+    corpus's tokens that the rates give the domain, the same in every row: targets
+    that no rates can meet are met as nearly as least squares allows. Rows with
+    equal ids and texts get equal values. Null and empty texts have no tokens;
+    without labels all posteriors are even; an empty table gives no rows.
     """
     targets = targets or TARGETS
     names = tuple(targets)
     rows = cut(posteriors(docs, fit(docs, labels, id_col, text, names, train_rows), id_col, text))
-    rate, _ = fit_rates(rows, [targets[d] for d in names])
+    rate, reached, total = fit_rates(rows, [targets[d] for d in names])
     drawn = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     out = rows.select("id", "own", "n", *[f"p{i}" for i in range(len(names))], F.greatest(F.lit(0.0), rate).alias("rate"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(names)], "rate", F.floor(F.col("rate") + drawn).cast("int").alias("copies"), "own")
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(names)],
+        "rate", F.floor(F.col("rate") + drawn).cast("int").alias("copies"),
+        *[F.lit(reached[i] / total if total else 0.0).alias(f"reached_{d}") for i, d in enumerate(names)], "own",
+    )
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors, rate and copies of every document."""
+    """Posteriors, rate and copies of every document, and the shares that the rates reach."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("own")
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    own, copies = fresh("own", docs.columns), fresh("copies", docs.columns)
-    mixed = mix(docs, table(spark, sf_dir, "labels")).select(F.col("own").alias(own), F.col("copies").alias(copies)).distinct()
-    joined = docs.withColumn(own, handle("doc_id", "text")).hint("merge").join(mixed, own).where(F.col(copies) > 0)
+    """Each document as many times as the mix takes it.
+
+    Rows with a null id or text are mixed like others, equal rows alike; an empty table stays empty.
+    """
+    own, of, copies = fresh("own", docs.columns), fresh("of", docs.columns), fresh("copies", docs.columns)
+    mixed = mix(docs, table(spark, sf_dir, "labels")).select(F.col("own").alias(own), F.col("doc_id").alias(of), F.col("copies").alias(copies)).where(F.col(copies) > 0).distinct()
+    joined = docs.withColumn(own, handle("doc_id", "text")).join(mixed.hint("shuffle_hash").withColumnRenamed(own, own + "_of"), (F.col(own) == F.col(own + "_of")) & col("doc_id").eqNullSafe(F.col(of)))
     return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[col(c) for c in docs.columns])
 
 

@@ -284,9 +284,9 @@ def test_rates_against_plain_least_squares(spark):
     rng = np.random.default_rng(8)
     p, n = rng.dirichlet([0.3, 0.3, 0.3], 200), rng.integers(1, 500, 200)
     frame = spark.createDataFrame([(int(a), *map(float, q)) for a, q in zip(n, p, strict=True)], "n long, p0 double, p1 double, p2 double")
-    rate, reached = mixing.fit_rates(frame, [0.7, 0.25, 0.05])
+    rate, reached, total = mixing.fit_rates(frame, [0.7, 0.25, 0.05])
     got = np.array([r[0] for r in frame.select(rate).collect()])
-    assert (got >= 0).all() and np.allclose((got * n) @ p / n.sum(), [0.7, 0.25, 0.05], atol=1e-5) and np.allclose((got * n) @ p, reached)
+    assert (got >= 0).all() and np.allclose((got * n) @ p / n.sum(), [0.7, 0.25, 0.05], atol=1e-5) and np.allclose((got * n) @ p, reached) and total == n.sum()
 
 
 def test_language_held_out(spark, docs, odd, empty):
