@@ -27,10 +27,8 @@ from pyspark.sql import types as T
 
 from ._shared import scan, table
 
-#: Longer words are walked as a single path: they have no prefix to share.
-PATH_BYTES = 256
-#: Words and token pairs that a task remembers between slices.
-REMEMBERED = 120_000
+#: Words and token pairs that a worker remembers between slices, and the length of the words.
+REMEMBERED, REMEMBERED_CHARS = 120_000, 64
 
 
 def default_vocabulary() -> str:
@@ -46,10 +44,19 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every id, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = _byte_letters()
+    found = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items() if all(c in letters for c in token)}
+    return found | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
 class Vocabulary:
     """Tokens in order of rank: single bytes first, then one per merge."""
 
-    def __init__(self, path: str, encodes: bool = True) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = _byte_letters(), spec["model"]["vocab"]
@@ -70,12 +77,10 @@ class Vocabulary:
             self.ids.append(vocab[a + b])
             self.index[self.bytes[n]] = n
         self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.by_id: dict[int, bytes] = dict(zip(self.ids, self.bytes, strict=True)) | {i: s.encode() for s, i in self.specials.items()}
         self.packed = [i.to_bytes(4, "little") for i in self.ids]
         self.lengths = [len(b) for b in self.bytes]
         self.fits: dict[int, bool] = {}
-        if encodes:
-            self._suffixes()
+        self._suffixes()
 
     def fit(self, a: int, b: int) -> bool:
         """Whether the merges, given the bytes of ``a`` and ``b``, end at just these two.
@@ -135,18 +140,6 @@ class Vocabulary:
             state = self.back[state]
         return after or 0
 
-    def last_token(self, ends: tuple[tuple[int, int], ...], last: list[int], depth: int) -> int:
-        """The last token of a prefix, given the tokens that end it and the last tokens of shorter prefixes."""
-        fits = self.fits
-        for token, length in ends:
-            if length == depth:
-                return token
-            before = last[depth - length]
-            good = fits.get(before << 32 | token)
-            if self.fit(before, token) if good is None else good:
-                return token
-        raise ValueError("a byte is missing from the vocabulary")
-
     def _spelled(self, last: list[int], depth: int) -> bytes:
         found, packed, lengths = [], self.packed, self.lengths
         while depth:
@@ -165,26 +158,17 @@ class Vocabulary:
         are what the nodes of the current path have handed down.
         """
         out: dict[str, bytes] = {}
-        short = {}
-        for word in words:
-            data = word.encode()
-            if len(data) > PATH_BYTES:
-                last, state = [0], 0
-                for depth, byte in enumerate(data, 1):
-                    state = self.step(state, byte)
-                    last.append(self.last_token(self.ends[state], last, depth))
-                out[word] = self._spelled(last, len(data))
-            else:
-                short[data] = word
-        trie = sorted(short)
-        last, states = [0] * (PATH_BYTES + 1), [0] * (PATH_BYTES + 1)
+        named = {word.encode(): word for word in words}
+        trie = sorted(named)
+        last = [0] * (max(map(len, trie), default=0) + 1)
+        states = list(last)
         ends, following, step, fit, fits, spelled = self.ends, self.next, self.step, self.fit, self.fits, self._spelled
         for data, depth in zip(trie, shared_lengths(trie), strict=True):
             state = states[depth]
             for byte in data[depth:]:
                 depth += 1
                 state = states[depth] = following[state].get(byte) or step(state, byte)
-                for token, length in ends[state]:  # as last_token(), which the paths of long words use
+                for token, length in ends[state]:  # the first that fits what stands before it
                     if length == depth:
                         break
                     before = last[depth - length]
@@ -194,23 +178,38 @@ class Vocabulary:
                 else:
                     raise ValueError("a byte is missing from the vocabulary")
                 last[depth] = token
-            out[short[data]] = spelled(last, depth)
+            out[named[data]] = spelled(last, depth)
         return out
 
 
-def shared_lengths(words: list[bytes], at_a_time: int = 20_000) -> list[int]:
+def shared_lengths(words: list[bytes], at_a_time: int = 20_000, longest: int = 256) -> list[int]:
     """The number of leading bytes that each of the sorted, distinct words shares with the one before."""
     found = [0] * min(1, len(words))
     for i in range(1, len(words), at_a_time):
         part = words[i - 1 : i + at_a_time]
         lengths = np.fromiter(map(len, part), np.int64, len(part))
-        grid = np.array(part, dtype=f"S{lengths.max() + 1}").view(np.uint8).reshape(len(part), -1)
+        grid = np.array([w[:longest] for w in part], dtype=f"S{min(longest, lengths.max()) + 1}").view(np.uint8).reshape(len(part), -1)
         first = (grid[1:] != grid[:-1]).argmax(axis=1)
-        # words that only trailing zero bytes tell apart look equal here
-        found += np.where((grid[1:] == grid[:-1]).all(axis=1), lengths[:-1], np.minimum(first, lengths[:-1])).tolist()
+        same = (grid[1:] == grid[:-1]).all(axis=1)
+        # words that only trailing zero bytes or what follows the grid tell apart look equal here
+        shared = np.where(same, np.minimum(lengths[:-1], lengths[1:]), np.minimum(first, lengths[:-1])).tolist()
+        for k in np.flatnonzero(same & (lengths[1:] > longest)).tolist():
+            shared[k] = _shared(part[k], part[k + 1])
+        found += shared
     return found
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 #: The pre-tokeniser's pattern, as the vocabulary's published library has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -238,36 +237,47 @@ class Encoder:
         self.vocabulary, self.words, self.known, self.older = Vocabulary(path), Splitter(), {}, {}
         specials = sorted(self.vocabulary.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+        self.opening = {s[0] for s in specials}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         rows = []
         for text in texts:
-            parts = self.special.split(text or "") if self.special and "<" in (text or "") else [text or ""]
+            text = text or ""
+            parts = self.special.split(text) if any(c in text for c in self.opening) else [text]
             rows.append([parts[i] if i % 2 else self.words(parts[i]) for i in range(len(parts))])
         known, older = self.known, self.older
         new = {w for row in rows for part in row[::2] for w in part}.difference(known)
         known.update((w, older[w]) for w in new & older.keys())
-        known.update(self.vocabulary.encode_words(new.difference(older)))
-        if len(known) > REMEMBERED:  # those in use move back from the older half
-            self.known, self.older = {}, known
+        made = self.vocabulary.encode_words(new.difference(older))
+        known.update(made)
         specials = self.vocabulary.specials
-        return [
+        out = [
             b"".join(
                 specials[part].to_bytes(4, "little") if i % 2 else b"".join(map(known.__getitem__, part))
                 for i, part in enumerate(row)
             )
             for row in rows
-        ]
+        ]
+        for word in made:
+            if len(word) > REMEMBERED_CHARS:
+                del known[word]
+        if len(known) > REMEMBERED:  # those in use move back from the older half
+            self.known, self.older = {}, known
+        return out
 
 
 class Decoder:
     def __init__(self, path: str) -> None:
-        by_id = Vocabulary(path, encodes=False).by_id
-        self.table = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        by_id = token_bytes(path)
+        self.table = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
 
     def __call__(self, rows: list[bytes | None]) -> list[str]:
-        get = self.table.__getitem__
-        return [b"".join(map(get, np.frombuffer(row or b"", dtype="<u4").tolist())).decode("utf-8", "replace") for row in rows]
+        get, end = self.table.__getitem__, len(self.table)
+        out = []
+        for row in rows:
+            ids = np.frombuffer(row or b"", dtype="<u4")
+            out.append(b"".join(map(get, ids[ids < end].tolist())).decode("utf-8", "replace"))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -314,15 +324,30 @@ def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_i
     return scan(encoded, ids, keep, [("text", T.StringType())], lambda: lambda rows: [_decoder(path)(rows)])
 
 
+def round_trip(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None) -> DataFrame:
+    """``keep``, ``n_tokens``, ``ids`` and ``text``, what these ids decode to: :func:`encode` and :func:`decode` in one scan.
+
+    A slice of texts is encoded, its packed ids are decoded again from their
+    bytes alone, and one worker holds both tables. Rows are treated as there; an
+    empty table gives no rows.
+    """
+    path = vocabulary or default_vocabulary()
+
+    def run(texts: list[str | None]) -> list:
+        packed = _encoder(path)(texts)
+        return [[len(x) // 4 for x in packed], packed, _decoder(path)(packed)]
+
+    return scan(docs, text, keep, [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("text", T.StringType())], lambda: run)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, then decoded from its ids; digests of both."""
-    encoded = encode(table(spark, sf_dir, "documents"))
-    out = decode(encoded, keep=("doc_id", "n_tokens", "ids"))
+    out = round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that is left, with its source."""
+    """Ids of every document that is left, with its source; null texts have none, an empty table gives no rows."""
     return encode(docs, keep=("doc_id", "source"))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +35,7 @@ def test_bpe_is_the_library(texts):
 
 def test_bpe_of_every_token_and_long_words():
     texts = [b.decode("utf-8", "ignore") for b in ENCODER.vocabulary.bytes] + ["ab" * 2000, "é" * 700, " " * 900, "a\x00", "a"]
+    texts += ["x" * n for n in (255, 256, 257, 258, 300, 40_000)] + ["x" * 300 + "y", "x" * 400 + "\x00", "z" * 256 + "\x00", "z" * 256]
     assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == library(texts)
 
 
@@ -47,7 +49,9 @@ def test_op2_on_a_table(spark):
 def test_bpe_on_odd_rows(odd, empty):
     rows = bpe.decode(bpe.encode(odd), keep=("doc_id", "n_tokens")).collect()
     assert sorted(r.text for r in rows) == sorted(t or "" for _, t, *_ in odd_rows())
-    assert bpe.encode(empty).count() == 0
+    both = bpe.round_trip(odd).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.text) for r in both) == Counter((r.doc_id, r.n_tokens, r.text) for r in bpe.decode(bpe.encode(odd), keep=("doc_id", "n_tokens")).collect())
+    assert bpe.encode(empty).count() == 0 == bpe.round_trip(empty).count()
 
 
 def test_quality_sql(spark):
