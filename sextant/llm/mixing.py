@@ -48,9 +48,9 @@ def style(text: Column, words: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     size = F.length(text) + 1
     step = lambda name, n: F.concat(F.lit(f"#{name}"), F.floor(F.log2(1 + 200 * n / size)).cast("string"))
-    # one expression for all marks: each takes as long as taking the text apart into words
-    marks = F.regexp_count(text, F.lit("[#*$%&<>|!?0-9]"))
-    return F.array(step("marks", marks), step("distinct", 10 * F.size(words)), F.concat(F.lit("#length"), F.floor(F.log2(size)).cast("string")))
+    # few expressions: each takes half as long as taking the text apart into words
+    marks, digits = (F.regexp_count(text, F.lit(f"[{chars}]")) for chars in ("#*$%&<>|!?", "0-9"))
+    return F.array(step("marks", marks), step("digits", digits), step("distinct", 10 * F.size(words)), F.concat(F.lit("#length"), F.floor(F.log2(size)).cast("string")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", names: tuple[str, ...] = tuple(TARGETS), train_rows: int = TRAIN_ROWS) -> tuple[list[str], dict[str, list[float]], list[float]]:
