@@ -41,8 +41,11 @@ LINE_BANDS, LINE_ROWS = 40, 6
 #: Candidates' SimHashes differ in no more bits: two standard deviations above what word sets with
 #: Jaccard similarity 0.6 differ in.
 FAR = 22
-#: Rows of a bucket whose pairs are all looked at together with other buckets'.
-FEW = 32
+#: Rows of a bucket whose pairs are all compared in one go with other buckets', and all go on if near. Of larger
+#: buckets those with more than DENSE near pairs a row go on as groups, joined by as few edges as connect them.
+FEW, DENSE = 8, 3
+#: Edges that stand for themselves, and edges of a group whose other pairs are candidates, too.
+PAIR, GROUP = 0, 1
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: The bits of a byte, one in each byte of a number.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
@@ -311,11 +314,12 @@ def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= bits
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Edges that connect what pairs of ``left`` x ``right`` within ``bits`` connect."""
+def _meet(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int], list[int], int]:
+    """The pairs of ``left`` x ``right`` within ``bits``, or, if these are dense, edges that connect what they connect; and which."""
     nodes = np.unique(np.concatenate([left, right]))
     in_left, in_right = np.isin(nodes, left), np.isin(nodes, right)
-    new, a, b = np.ones(len(nodes), bool), [], []
+    new, a, b, all_a, all_b = np.ones(len(nodes), bool), [], [], [], []
+    dense = False
     for first in range(len(nodes)):
         if not new[first]:
             continue
@@ -323,23 +327,28 @@ def _spanning(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int]
         queue = [first]
         while queue:
             k = queue.pop()
-            across = in_right & in_left[k] | in_left & in_right[k]
-            found = np.flatnonzero(new & across & _near(nodes, nodes[k], bits))
+            near = np.flatnonzero((in_right & in_left[k] | in_left & in_right[k]) & _near(nodes, nodes[k], bits))
+            found = near[new[near]]
             new[found] = False
             queue += found.tolist()
             a += [int(nodes[k])] * len(found)
             b += nodes[found].tolist()
-    return a, b
+            if not dense:
+                more = near[near > k]
+                all_a += [int(nodes[k])] * len(more)
+                all_b += nodes[more].tolist()
+                dense = len(all_a) > DENSE * len(nodes)
+    return (a, b, GROUP) if dense else (all_a, all_b, PAIR)
 
 
 class Buckets:
     """Compares the rows (bucket, node, item) of whole buckets; ``inside`` takes any number of
-    them in order, ``across`` two parts of one. Both return edges."""
+    them in order, ``across`` two parts of one. Both return edges and their kind or kinds."""
 
-    def inside(self, bucket: np.ndarray, node: np.ndarray, item: list) -> tuple[np.ndarray, np.ndarray]:
+    def inside(self, bucket: np.ndarray, node: np.ndarray, item: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def across(self, left: tuple[np.ndarray, list], right: tuple[np.ndarray, list]) -> tuple[list, list]:
+    def across(self, left: tuple[np.ndarray, list], right: tuple[np.ndarray, list]) -> tuple[list, list, int]:
         raise NotImplementedError
 
 
@@ -358,7 +367,7 @@ class Near(Buckets):
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(bucket)))
         small = np.repeat(sizes <= FEW, sizes)
-        a, b = [], []
+        a, b, kind = [], [], []
         for d in range(1, FEW):
             at = np.flatnonzero((bucket[d:] == bucket[:-d]) & small[d:])
             if not len(at):
@@ -366,16 +375,18 @@ class Near(Buckets):
             at = at[_near(node[at], node[at + d], self.bits)]
             a.append(node[at])
             b.append(node[at + d])
+            kind.append(np.full(len(at), PAIR))
         for k in np.flatnonzero(sizes > FEW):
             own = node[starts[k] : starts[k] + sizes[k]]
-            more = _spanning(own, own, self.bits)
+            more = _meet(own, own, self.bits)
             a.append(np.array(more[0], np.int64))
             b.append(np.array(more[1], np.int64))
+            kind.append(np.full(len(more[0]), more[2]))
         none = [np.zeros(0, np.int64)]
-        return np.concatenate(a or none), np.concatenate(b or none)
+        return np.concatenate(a or none), np.concatenate(b or none), np.concatenate(kind or none)
 
     def across(self, left, right):
-        return _spanning(left[0], right[0], self.bits)
+        return _meet(left[0], right[0], self.bits)
 
 
 class Alike(Buckets):
@@ -393,7 +404,7 @@ class Alike(Buckets):
                 more = self.across(own, own)
                 a += more[0]
                 b += more[1]
-        return np.array(a, np.int64), np.array(b, np.int64)
+        return np.array(a, np.int64), np.array(b, np.int64), np.full(len(a), PAIR)
 
     def across(self, left, right):
         a, b = [], []
@@ -411,11 +422,11 @@ class Alike(Buckets):
                 if len(text) > len(other) and self.how.same((text, None, None), (other, None, None)):
                     a.append(n)
                     b.append(m)
-        return a, b
+        return a, b, PAIR
 
 
 def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
-    """Edges (a, b) between the rows (bucket, node, item) that meet in a bucket and pass.
+    """Edges (a, b, kind) between the rows (bucket, node, item) that meet in a bucket and pass.
 
     One shuffle. Sorted buckets stream through a task; what a bucket has beyond
     RUN goes on to a second step, by pairs of blocks, so that no task holds it.
@@ -423,14 +434,14 @@ def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
     rows = rows.select("bucket", "node", "item").repartition("bucket").sortWithinPartitions("bucket", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, held, chunk = make(), None, 0
+        how, held, chunk, names = make(), None, 0, ["a", "b", "item", "chunk", "kind"]
 
         def edges(found) -> pa.RecordBatch:
             n = len(found[0])
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names=["a", "b", "item", "chunk"])
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(found[2].astype(np.int32))], names=names)
 
         def later(part: pa.Table, k: int) -> pa.RecordBatch:
-            part = part.append_column("chunk", pa.array(np.full(part.num_rows, k, np.int32))).rename_columns(["a", "b", "item", "chunk"])
+            part = part.append_column("chunk", pa.array(np.full(part.num_rows, k, np.int32))).append_column("kind", pa.nulls(part.num_rows, pa.int32())).rename_columns(names)
             return part.combine_chunks().to_batches()[0]
 
         def compare(part: pa.Table) -> pa.RecordBatch:
@@ -457,7 +468,7 @@ def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
         if held is not None and held.num_rows:
             yield later(held, chunk) if chunk else compare(held)
 
-    found = cut(rows.mapInArrow(run, "a long, b long, item string, chunk int"))
+    found = cut(rows.mapInArrow(run, "a long, b long, item string, chunk int, kind int"))
     large = found.where("chunk is not null").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "item", "chunk")
     sizes = large.groupBy("bucket").agg((F.max("chunk") + 1).alias("n"))
     paired = large.join(sizes, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -467,32 +478,60 @@ def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         chunk, node, item = group.column("chunk").to_numpy(), group.column("node").to_numpy(), np.array(group.column("item").to_pylist(), object)
         left = node[chunk == i], item[chunk == i].tolist()
-        a, b = make().across(left, left if i == j else (node[chunk == j], item[chunk == j].tolist()))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b, kind = make().across(left, left if i == j else (node[chunk == j], item[chunk == j].tolist()))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "kind": pa.array([kind] * len(a), pa.int32())})
 
-    return found.where("chunk is null").select("a", "b").union(paired.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long"))
+    return found.where("chunk is null").select("a", "b", "kind").union(paired.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long, kind int"))
 
 
 def linked(rows: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
     """(node, comp) of the lines that chains of similar lines connect; ``rows`` as :func:`lines_of`
-    has them, ``lines`` (node, more, sig, n) the distinct ones."""
+    has them, ``lines`` (node, more, sig, n) the distinct ones.
+
+    Near SimHashes are compared pair by pair; groups of many near pairs, and lines with
+    one SimHash, within their groups, so that not all their pairs are made.
+    """
     none = F.lit(None).cast("string").alias("item")
     by_words = rows.where("blocks is not null").select(F.explode("blocks").alias("bucket"), F.coalesce("words", "sig").alias("node"), none)
     by_grams = rows.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("sig").alias("node"), none)
-    both = rows.where("words is not null and blocks is not null").select(F.col("sig").alias("a"), F.col("words").alias("b"))
-    close = components(bucket_links(by_words.union(by_grams), Near).union(both)).toDF("sig", "comp")
-    tied = cut(lines.select("node", "sig").join(close, "sig", "left").select("node", F.coalesce("comp", "sig").alias("by")))
+    met = bucket_links(by_words.union(by_grams), Near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("kind").alias("kind"))
+    met = cut(met)
+    # a line that joins by words and by 3-grams has two SimHashes: both stand for it
+    twice = rows.where("words is not null and blocks is not null").select(F.col("words").alias("sig"), "node")
+    signed = lines.select("sig", "node").union(twice)
+    groups = components(met.where(F.col("kind") == GROUP).select("a", "b")).toDF("sig", "comp")
+    tied = signed.join(groups, "sig", "left").groupBy("node").agg(F.min(F.coalesce("comp", "sig")).alias("by"))
+    tied = cut(tied)
     several = tied.groupBy("by").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("by", "comp")
-    wanted = cut(tied.join(several, "by").select("node", "comp"))
-    place = rows.join(lines.select("node", "more"), ["node", "more"]).join(wanted, "node").groupBy("node", "comp").agg(F.min(F.struct("doc", "id", "pos")).alias("place"))
-    edges = verified(_items(docs, place, id_col, text), lambda: Edits(least))
-    short = bucket_links(rows.where("pieces is not null").select(F.explode("pieces").alias("bucket"), "node", "item"), lambda: Alike(least))
-    out = components(edges.union(short))
-    discard(tied)
-    discard(wanted)
+    grouped = cut(tied.join(several, "by").select("node", "comp"))
+    named = signed.groupBy("sig").agg(F.min("node").alias("node"))
+    pairs = met.where(F.col("kind") == PAIR).join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where("x != y")
+    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    wanted = grouped.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    place = rows.join(lines.select("node", "more"), ["node", "more"]).join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc", "id", "pos")).alias("place"))
+    items = _items(docs, place, id_col, text)
+    edges = verified(grouped.join(items, "node"), lambda: Edits(least))
+    short = bucket_links(rows.where("pieces is not null").select(F.explode("pieces").alias("bucket"), "node", "item"), lambda: Alike(least)).select("a", "b")
+    out = components(edges.union(alike_pairs(pairs, items, least)).union(short))
+    for done in (met, tied, grouped, pairs, items):
+        discard(done)
     return out
 
 
+def alike_pairs(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose items (node, item) have an edit similarity of ``least``."""
+    joined = pairs.join(items.toDF("a", "left"), "a").join(items.toDF("b", "right"), "b").select("a", "b", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = Edits(least)
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            good = [how.same(how.prepare(x), how.prepare(y)) for x, y in zip(left, right, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, doc, removed): the documents that lose lines, with these lines' positions."""
     rows = cut(lines_of(docs, id_col, text, least))
@@ -512,8 +551,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
 
 
 def _items(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(node, comp, item): the normalised text of the wanted lines, each document's picked in one go."""
-    asked = wanted.groupBy("place.id", "place.doc").agg(F.collect_list(F.struct("place.pos", "node", "comp")).alias("asked"))
+    """(node, item): the normalised text of the wanted lines, each document's picked in one go."""
+    asked = wanted.groupBy("place.id", "place.doc").agg(F.collect_list(F.struct("place.pos", "node")).alias("asked"))
     texts = docs.select(handle(id_col, text).alias("own"), col(id_col).alias("own_id"), col(text).alias("text"))
     # both sides grow with the corpus: the same join at every size
     joined = texts.join(asked.hint("shuffle_hash"), (F.col("own") == F.col("doc")) & F.col("own_id").eqNullSafe(F.col("id"))).select("text", "asked")
@@ -521,16 +560,15 @@ def _items(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                node, comp, item = [], [], []
+                node, item = [], []
                 for t, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     lines = (t or "").split("\n")
                     for m in marks:
                         node.append(m["node"])
-                        comp.append(m["comp"])
                         item.append(normal(lines[m["pos"]]).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(comp, pa.int64()), pa.array(item, pa.string())], names=["node", "comp", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(item, pa.string())], names=["node", "item"])
 
-    return cut(joined.mapInArrow(run, "node long, comp long, item string").dropDuplicates(["node"]))
+    return cut(joined.mapInArrow(run, "node long, item string").dropDuplicates(["node"]))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
