@@ -66,9 +66,9 @@ def elapsed(rows: DataFrame, by: Sequence[str], time: str) -> DataFrame:
     return rows.join(first, list(by)).withColumn("elapsed", (micros(time) - micros("_first")) / 1e6).drop("_first")
 
 
-def every_nth(rows: DataFrame, key: str, count: str, limit: int, n: int = 5, parts: int = 64) -> DataFrame:
+def every_nth(rows: DataFrame, key: str, count: str, limit: int, n: int = 5) -> DataFrame:
     """``star``: true for every ``n``-th row, in order of ``key``, of those with a count under ``limit``."""
     from .aggregates import cumulative
 
     marked = rows.withColumn("_one", F.when(F.col(count) < limit, 1).otherwise(0))
-    return cumulative(marked, [key], "_one", "_at", parts).withColumn("star", (F.col("_one") == 1) & (F.col("_at") % n == 0)).drop("_one", "_at", "total")
+    return cumulative(marked, [key], "_one", "_at").withColumn("star", (F.col("_one") == 1) & (F.col("_at") % n == 0)).drop("_one", "_at", "total")

@@ -301,3 +301,26 @@ def test_window_stream(spark, tmp_path):
     rows = frame(spark, [(1, t, float(i)) for i, t in enumerate(at)], "u int, ts timestamp, v double")
     got = run_stream(spark, rows, tmp_path, lambda s: series.tumbling(s, "ts", "1 hour", ["u"], {"n": F.count("*")}), "complete")
     assert Counter(r.n for r in got) == {2: 1, 1: 2}
+
+
+def test_running_sums_over_many_ranges(spark):
+    """Sums by ranges are those of one window, with a wide table, groups that span ranges, nulls and ties."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from sextant.operators.aggregates import cumulative, percentiles
+
+    rows = spark.range(120_000).select(
+        F.when(F.col("id") % 1000 != 7, F.pmod(F.xxhash64("id"), F.lit(90_000))).alias("k"), (F.col("id") % 13).alias("w"),
+        F.when(F.col("id") % 3 > 0, F.lit("large")).when(F.col("id") % 17 > 0, F.lit("small")).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("more"),
+    )
+    for by in ((), ("g",)):
+        got = cumulative(rows, ["k", "more"], "w", "up", by=by, parts_of=5_000)
+        series = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        want = rows.withColumn("up", F.sum("w").over(series.orderBy("k", "more").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(series))
+        columns = ["k", "w", "g", "more", "up", "total"]
+        assert got.count() == 120_000 and got.select(columns).exceptAll(want.select(columns)).isEmpty()
+    counted = rows.where("k is not null").groupBy("g").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("k")).alias("all"))
+    ranks = {r.g: (r.n, r["all"]) for r in counted.collect()}
+    found = percentiles(rows, "k", ["g"]).collect()
+    assert len(found) == 300 and all(r.value == ranks[r.g][1][(r.p * ranks[r.g][0] + 99) // 100 - 1] for r in found)
