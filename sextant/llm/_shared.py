@@ -36,27 +36,30 @@ def fresh(name: str, taken: Sequence[str]) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder is
-    made and remembered in the session.
+    Only where the session names none in local mode, as in tests, a temporary
+    folder is made and remembered in the session; on a cluster none would do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("sextant.scratch.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("sextant.scratch.dir", found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, dictionary: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     The copy is Parquet, so later reads prune columns, and a lost executor
-    costs only the tasks that it ran.
+    costs only the tasks that it ran. Without ``dictionary`` no column is tried
+    for one, which costs much where most values are hashes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sextant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -41,11 +41,9 @@ LINE_BANDS, LINE_ROWS = 40, 6
 #: Candidates' SimHashes differ in no more bits: two standard deviations above what word sets with
 #: Jaccard similarity 0.6 differ in.
 FAR = 22
-#: Rows of a bucket whose pairs are all compared in one go with other buckets', and all go on if near. Of larger
-#: buckets those with more than DENSE near pairs a row go on as groups, joined by as few edges as connect them.
-FEW, DENSE = 8, 3
-#: Edges that stand for themselves, and edges of a group whose other pairs are candidates, too.
-PAIR, GROUP = 0, 1
+#: Rows of a bucket whose pairs are all compared in one go with other buckets', and all go on if near. In larger
+#: buckets, SimHashes that chains of TIGHT bits connect are one cluster, whose other pairs need not be made.
+FEW, TIGHT = 8, 6
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: The bits of a byte, one in each byte of a number.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
@@ -138,11 +136,16 @@ class Edits(Same):
             both = int(np.minimum(a_counts, b_counts[at])[b_grams[at] == a_grams].sum())
             if int(a_counts.sum()) + int(b_counts.sum()) - 2 * both > 8 * most:
                 return False
-        return distance(a, b) <= most
+        # words put in the place of others, as most near copies have them, bound the distance from above
+        x, y = a.split(" "), b.split(" ")
+        if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= most:
+            return True
+        return distance(a, b, most) <= most
 
 
-def distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table in one whole number (Myers, Hyyrö)."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, a column of the table in one whole number (Myers, Hyyrö); if it is
+    more than ``most``, some number that is more."""
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -152,6 +155,7 @@ def distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full, top, d = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
     up, down = full, 0
+    left = len(a) if most is None else len(a) + most
     for c in a:
         here = places.get(c, 0)
         free = (((here & up) + up) ^ up) | here | down
@@ -160,6 +164,9 @@ def distance(a: str, b: str) -> int:
             d += 1
         elif back & top:
             d -= 1
+        left -= 1
+        if d > left and most is not None:  # the distance falls by one a character at most
+            return most + 1
         across, back = across << 1 & full | 1, back << 1 & full
         up, down = back | ~(free | across) & full, across & free
     return d
@@ -314,41 +321,40 @@ def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= bits
 
 
-def _meet(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[list[int], list[int], int]:
-    """The pairs of ``left`` x ``right`` within ``bits``, or, if these are dense, edges that connect what they connect; and which."""
-    nodes = np.unique(np.concatenate([left, right]))
-    in_left, in_right = np.isin(nodes, left), np.isin(nodes, right)
-    new, a, b, all_a, all_b = np.ones(len(nodes), bool), [], [], [], []
-    dense = False
+def _meet(nodes: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """Pairs of distinct SimHashes within ``bits``: those that connect each cluster, and of each
+    node and each other cluster the nearest. So n copies with few edits give n pairs."""
+    cluster, a, b = np.full(len(nodes), -1), [], []
     for first in range(len(nodes)):
-        if not new[first]:
+        if cluster[first] >= 0:
             continue
-        new[first] = False
+        cluster[first] = first
         queue = [first]
         while queue:
             k = queue.pop()
-            near = np.flatnonzero((in_right & in_left[k] | in_left & in_right[k]) & _near(nodes, nodes[k], bits))
-            found = near[new[near]]
-            new[found] = False
+            found = np.flatnonzero((cluster < 0) & _near(nodes, nodes[k], TIGHT))
+            cluster[found] = first
             queue += found.tolist()
             a += [int(nodes[k])] * len(found)
             b += nodes[found].tolist()
-            if not dense:
-                more = near[near > k]
-                all_a += [int(nodes[k])] * len(more)
-                all_b += nodes[more].tolist()
-                dense = len(all_a) > DENSE * len(nodes)
-    return (a, b, GROUP) if dense else (all_a, all_b, PAIR)
+    for k in range(len(nodes)):
+        apart = np.bitwise_count((nodes ^ nodes[k]).view(np.uint64))
+        near = np.flatnonzero((apart <= bits) & (cluster != cluster[k]))
+        near = near[np.argsort(apart[near], kind="stable")]
+        near = near[np.unique(cluster[near], return_index=True)[1]]
+        a += [int(nodes[k])] * len(near)
+        b += nodes[near].tolist()
+    return a, b
 
 
 class Buckets:
     """Compares the rows (bucket, node, item) of whole buckets; ``inside`` takes any number of
-    them in order, ``across`` two parts of one. Both return edges and their kind or kinds."""
+    them in order, ``across`` two parts of one. Both return edges."""
 
-    def inside(self, bucket: np.ndarray, node: np.ndarray, item: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inside(self, bucket: np.ndarray, node: np.ndarray, item: list) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def across(self, left: tuple[np.ndarray, list], right: tuple[np.ndarray, list]) -> tuple[list, list, int]:
+    def across(self, left: tuple[np.ndarray, list], right: tuple[np.ndarray, list]) -> tuple[list, list]:
         raise NotImplementedError
 
 
@@ -367,7 +373,7 @@ class Near(Buckets):
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(bucket)))
         small = np.repeat(sizes <= FEW, sizes)
-        a, b, kind = [], [], []
+        a, b = [], []
         for d in range(1, FEW):
             at = np.flatnonzero((bucket[d:] == bucket[:-d]) & small[d:])
             if not len(at):
@@ -375,18 +381,16 @@ class Near(Buckets):
             at = at[_near(node[at], node[at + d], self.bits)]
             a.append(node[at])
             b.append(node[at + d])
-            kind.append(np.full(len(at), PAIR))
         for k in np.flatnonzero(sizes > FEW):
             own = node[starts[k] : starts[k] + sizes[k]]
-            more = _meet(own, own, self.bits)
+            more = _meet(own, self.bits)
             a.append(np.array(more[0], np.int64))
             b.append(np.array(more[1], np.int64))
-            kind.append(np.full(len(more[0]), more[2]))
         none = [np.zeros(0, np.int64)]
-        return np.concatenate(a or none), np.concatenate(b or none), np.concatenate(kind or none)
+        return np.concatenate(a or none), np.concatenate(b or none)
 
     def across(self, left, right):
-        return _meet(left[0], right[0], self.bits)
+        return _meet(np.unique(np.concatenate([left[0], right[0]])), self.bits)
 
 
 class Alike(Buckets):
@@ -404,7 +408,7 @@ class Alike(Buckets):
                 more = self.across(own, own)
                 a += more[0]
                 b += more[1]
-        return np.array(a, np.int64), np.array(b, np.int64), np.full(len(a), PAIR)
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def across(self, left, right):
         a, b = [], []
@@ -422,11 +426,11 @@ class Alike(Buckets):
                 if len(text) > len(other) and self.how.same((text, None, None), (other, None, None)):
                     a.append(n)
                     b.append(m)
-        return a, b, PAIR
+        return a, b
 
 
 def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
-    """Edges (a, b, kind) between the rows (bucket, node, item) that meet in a bucket and pass.
+    """Edges (a, b) between the rows (bucket, node, item) that meet in a bucket and pass.
 
     One shuffle. Sorted buckets stream through a task; what a bucket has beyond
     RUN goes on to a second step, by pairs of blocks, so that no task holds it.
@@ -434,14 +438,14 @@ def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
     rows = rows.select("bucket", "node", "item").repartition("bucket").sortWithinPartitions("bucket", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, held, chunk, names = make(), None, 0, ["a", "b", "item", "chunk", "kind"]
+        how, held, chunk, names = make(), None, 0, ["a", "b", "item", "chunk"]
 
         def edges(found) -> pa.RecordBatch:
             n = len(found[0])
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(found[2].astype(np.int32))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names=names)
 
         def later(part: pa.Table, k: int) -> pa.RecordBatch:
-            part = part.append_column("chunk", pa.array(np.full(part.num_rows, k, np.int32))).append_column("kind", pa.nulls(part.num_rows, pa.int32())).rename_columns(names)
+            part = part.append_column("chunk", pa.array(np.full(part.num_rows, k, np.int32))).rename_columns(names)
             return part.combine_chunks().to_batches()[0]
 
         def compare(part: pa.Table) -> pa.RecordBatch:
@@ -468,7 +472,7 @@ def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
         if held is not None and held.num_rows:
             yield later(held, chunk) if chunk else compare(held)
 
-    found = cut(rows.mapInArrow(run, "a long, b long, item string, chunk int, kind int"))
+    found = cut(rows.mapInArrow(run, "a long, b long, item string, chunk int"))
     large = found.where("chunk is not null").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "item", "chunk")
     sizes = large.groupBy("bucket").agg((F.max("chunk") + 1).alias("n"))
     paired = large.join(sizes, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -478,34 +482,29 @@ def bucket_links(rows: DataFrame, make: Callable[[], Buckets]) -> DataFrame:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         chunk, node, item = group.column("chunk").to_numpy(), group.column("node").to_numpy(), np.array(group.column("item").to_pylist(), object)
         left = node[chunk == i], item[chunk == i].tolist()
-        a, b, kind = make().across(left, left if i == j else (node[chunk == j], item[chunk == j].tolist()))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "kind": pa.array([kind] * len(a), pa.int32())})
+        a, b = make().across(left, left if i == j else (node[chunk == j], item[chunk == j].tolist()))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return found.where("chunk is null").select("a", "b", "kind").union(paired.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long, kind int"))
+    return found.where("chunk is null").select("a", "b").union(paired.groupBy("bucket", "i", "j").applyInArrow(pair, "a long, b long"))
 
 
 def linked(rows: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text: str, least: float) -> DataFrame:
     """(node, comp) of the lines that chains of similar lines connect; ``rows`` as :func:`lines_of`
     has them, ``lines`` (node, more, sig, n) the distinct ones.
 
-    Near SimHashes are compared pair by pair; groups of many near pairs, and lines with
-    one SimHash, within their groups, so that not all their pairs are made.
+    Near SimHashes are compared pair by pair, lines with one SimHash within their group.
     """
     none = F.lit(None).cast("string").alias("item")
     by_words = rows.where("blocks is not null").select(F.explode("blocks").alias("bucket"), F.coalesce("words", "sig").alias("node"), none)
     by_grams = rows.where("bands is not null").select(F.explode("bands").alias("bucket"), F.col("sig").alias("node"), none)
-    met = bucket_links(by_words.union(by_grams), Near).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("kind").alias("kind"))
-    met = cut(met)
+    met = cut(bucket_links(by_words.union(by_grams), Near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # a line that joins by words and by 3-grams has two SimHashes: both stand for it
     twice = rows.where("words is not null and blocks is not null").select(F.col("words").alias("sig"), "node")
     signed = lines.select("sig", "node").union(twice)
-    groups = components(met.where(F.col("kind") == GROUP).select("a", "b")).toDF("sig", "comp")
-    tied = signed.join(groups, "sig", "left").groupBy("node").agg(F.min(F.coalesce("comp", "sig")).alias("by"))
-    tied = cut(tied)
-    several = tied.groupBy("by").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("by", "comp")
-    grouped = cut(tied.join(several, "by").select("node", "comp"))
+    several = lines.groupBy("sig").agg(F.min("node").alias("comp"), F.count("*").alias("n")).where("n > 1").select("sig", "comp")
+    grouped = cut(lines.join(several, "sig").select("node", "comp"))
     named = signed.groupBy("sig").agg(F.min("node").alias("node"))
-    pairs = met.where(F.col("kind") == PAIR).join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where("x != y")
+    pairs = met.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").where("x != y")
     pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     wanted = grouped.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     place = rows.join(lines.select("node", "more"), ["node", "more"]).join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc", "id", "pos")).alias("place"))
@@ -513,7 +512,7 @@ def linked(rows: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text
     edges = verified(grouped.join(items, "node"), lambda: Edits(least))
     short = bucket_links(rows.where("pieces is not null").select(F.explode("pieces").alias("bucket"), "node", "item"), lambda: Alike(least)).select("a", "b")
     out = components(edges.union(alike_pairs(pairs, items, least)).union(short))
-    for done in (met, tied, grouped, pairs, items):
+    for done in (met, grouped, pairs, items):
         discard(done)
     return out
 
@@ -534,7 +533,7 @@ def alike_pairs(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(id, doc, removed): the documents that lose lines, with these lines' positions."""
-    rows = cut(lines_of(docs, id_col, text, least))
+    rows = cut(lines_of(docs, id_col, text, least), dictionary=False)
     # of two lines with the same first half of the digest, only the one with the smaller rest is joined with others
     lines = cut(rows.groupBy("node").agg(F.min("more").alias("more"), F.any_value("sig").alias("sig"), F.count("*").alias("n")))
     joint = linked(rows, lines, docs, id_col, text, least)
