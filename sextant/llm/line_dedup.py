@@ -519,16 +519,11 @@ def linked(rows: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text
 
 def alike_pairs(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose items (node, item) have an edit similarity of ``least``."""
-    joined = pairs.join(items.toDF("a", "left"), "a").join(items.toDF("b", "right"), "b").select("a", "b", "left", "right")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how = Edits(least)
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [how.same(how.prepare(x), how.prepare(y)) for x, y in zip(left, right, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(items.toDF("a", "left"), "a").join(items.toDF("b", "right"), "b")
+    longer, shorter = (f(F.length("left"), F.length("right")) for f in (F.greatest, F.least))
+    sized = joined.withColumn("most", (longer * F.lit(1 - least) + F.lit(1e-9)).cast("int")).where(longer - shorter <= F.col("most"))
+    # Spark's own distance fills only the band within the limit, and is -1 beyond it
+    return sized.where(F.expr("levenshtein(left, right, most)") >= 0).select("a", "b")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
