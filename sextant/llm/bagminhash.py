@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ._neardup import STEP, Hashes, Same, classes, components, mixed, shingles, stars
 from ._shared import col, cut, fresh, scan, table
+from .line_dedup import handle
 
 WORDS, SIMILARITY = 5, 0.8
 #: Components of a signature; bands of BAND_ROWS of them. At similarity 0.8 a pair shares a band with probability 0.998.
@@ -116,7 +117,7 @@ class Overlap(Same):
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
-    """(id, row, key, bands): a row number, a digest of the words, and the band hashes of every row."""
+    """(id, handle, row, key, bands): a handle of id and text, a row number, a digest of the words, and the band hashes of every row."""
 
     def make() -> Callable:
         hashes = Hashes()
@@ -134,8 +135,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
 
         return run
 
-    out = scan(docs, text, (id_col,), [("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))], make)
-    return out.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), "key", "bands")
+    narrow = docs.select(col(id_col).alias("id"), handle(id_col, text).alias("handle"), col(text).alias("text"))
+    out = scan(narrow, "text", ("id", "handle"), [("key", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))], make)
+    return out.select("id", "handle", F.monotonically_increasing_id().alias("row"), "key", "bands")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = SIMILARITY, size: int = WORDS) -> DataFrame:
@@ -154,13 +156,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def _classify(rows: DataFrame, docs: DataFrame, id_col: str, text: str, least: float, size: int) -> DataFrame:
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "row")
-    copies = cut(rows.groupBy("key").agg(F.min(place).alias("p"), F.count("*").alias("n"), F.any_value("bands").alias("bands")).select("key", F.col("p.row").alias("node"), F.col("p.id").alias("id"), "n", "bands"))
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "row", "handle")
+    copies = cut(rows.groupBy("key").agg(F.min(place).alias("p"), F.count("*").alias("n"), F.any_value("bands").alias("bands")).select("key", F.col("p.row").alias("node"), F.col("p.id").alias("id"), F.col("p.handle").alias("handle"), "n", "bands"))
     candidates = components(stars(copies.select("node", F.explode("bands").alias("bucket"))))
-    named = cut(candidates.join(copies.select("node", "key", "id"), "node"))
-    texts = docs.select(col(id_col).alias("own"), col(text).alias("item"))
-    # both sides grow with the corpus: the same join at every size
-    members = texts.hint("merge").join(named, texts["own"].eqNullSafe(named["id"])).select("node", "comp", "key", "item")
+    named = cut(candidates.join(copies.select("node", "key", "id", "handle"), "node"))
+    # by id and text, so that rows with one id, or none, do not all meet each other; both sides
+    # grow with the corpus: the same join at every size
+    texts = docs.select(handle(id_col, text).alias("own"), col(id_col).alias("own_id"), col(text).alias("item"))
+    members = texts.hint("merge").join(named, (texts["own"] == named["handle"]) & texts["own_id"].eqNullSafe(named["id"])).select("node", "comp", "key", "item")
     members = cut(_checked(members).dropDuplicates(["node"]))
     joint = classes(members, lambda: Overlap(size, least))
     nodes = copies.join(joint, "node", "left").select("key", "n", F.coalesce("comp", "node").alias("comp"), F.struct(F.col("id").isNull().alias("z"), "id", F.col("node").alias("row")).alias("p"))

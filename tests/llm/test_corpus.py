@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from conftest import SCHEMA, prose
 from harness import DATA
+from pyspark.sql import functions as F
 
 from sextant.llm import _neardup, bagminhash, langid, line_dedup, mixing, paragraphs
 
@@ -98,6 +99,23 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert bagminhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_one_id(spark):
+    """Rows that share an id, or have none, meet by their texts: this many would not end if they met by the id."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(3)).cast("long").alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat(F.floor(F.col("id") / 4), F.lit(f"-{k}"))) for k in range(6)]).alias("text"))
+    got = bagminhash.near_duplicates(rows)
+    assert got.agg(F.count("*"), F.sum("class_size"), F.count(F.when(F.col("kept"), 1))).first() == (20_000, 80_000, 5_000)
+
+
+def test_alike_pairs_are_those_of_the_edit_distance(spark):
+    random.seed(14)
+    made = ["".join(random.choice("ab é") for _ in range(random.randint(0, 60))) for _ in range(60)]
+    items = made + ["".join(c if random.random() < 0.8 else random.choice("xyzé") for c in x) for x in made]
+    pairs = [(i, i + 60) for i in range(60)]
+    how = line_dedup.Edits()
+    got = line_dedup.alike_pairs(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(enumerate(items)), "node long, item string"), 0.8)
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a, b in pairs if how.same(how.prepare(items[a]), how.prepare(items[b]))}
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
