@@ -71,14 +71,15 @@ def merged(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rates(scored.cube(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "bad_hash")], F.grouping_id().alias("level")))
 
 
-def freshness(mods: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+def freshness(mods: DataFrame, queries: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
     """Queries sent between a modification's neighbours, told whether they show it.
 
     ``mods``: mid, category, previous, at, following (seconds), pre and post (id lists);
-    ``queries``: qid, sent, ids. A query before the modification should show ``pre``, one
-    after it ``post``.
+    ``queries``: qid, sent, ids; both have the columns of ``by``, the series that a
+    modification's neighbours and its queries come from. A query before the
+    modification should show ``pre``, one after it ``post``.
     """
-    near = within(queries, mods.select("mid", "category", "previous", "at", "following", "pre", "post"), "sent", "previous", "following", width)
+    near = within(queries, mods.select("mid", "category", "previous", "at", "following", "pre", "post", *by), "sent", "previous", "following", width, by)
     after = F.col("sent") >= F.col("at")
     expected = F.when(after, F.col("post")).otherwise(F.col("pre"))
     verdict = F.when(F.col("ids") == expected, "good").when(after & (F.col("ids") == F.col("pre")), "stale").otherwise("bad")
