@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL, one per operator.
-MODULES = ("bpe", "quality", "secrets", "token_counts", "mpeg", "bagminhash", "line_dedup", "paragraphs", "mixing", "langid", "conversation_trie", "spelling")
+MODULES = ("bpe", "quality", "secrets", "token_counts", "mpeg", "bagminhash", "line_dedup", "paragraphs", "mixing", "langid", "conversation_trie", "spelling", "page_text")
 
 
 def _all(name: str) -> dict:
