@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.predicates import words
 from sextant.functions.scalars import micros
+from sextant.scratch import fresh, written
 
 
 def value_counts(rows: DataFrame, field: str) -> DataFrame:
@@ -21,60 +22,38 @@ def running(counts: DataFrame, value: str, n: str = "n") -> DataFrame:
     Distinct values are ranged and summed within their range, with the totals of
     the ranges before it, so one task never holds all values.
     """
-    return cumulative(counts, [value], n, "up_to").withColumn("n_from", F.col("total") - F.col("up_to") + F.col(n)).drop("total")
+    total = fresh("total", counts.columns)
+    return cumulative(counts, [value], n, "up_to", total=total).withColumn("n_from", F.col(total) - F.col("up_to") + F.col(n)).drop(total)
 
 
-def cumulative(rows: DataFrame, order: Sequence[str], weight: str, name: str, decimal: str | None = None, by: Sequence[str] = (), parts_of: int = 1 << 19) -> DataFrame:
+def cumulative(
+    rows: DataFrame, order: Sequence[str], weight: str, name: str, *, total: str = "total", decimal: str | None = None, by: Sequence[str] = (), parts: int | None = None
+) -> DataFrame:
     """``name``: the running sum of ``weight`` in ``order`` within ``by``, and ``total``; nulls come first.
 
-    Rows are dealt by ranges of (by, order), one for every ``parts_of`` rows; sums
-    run within a range, and the ranges' totals run on their own. The bounds are
-    taken once, from a sample that is as long as there are ranges, and stand in
-    the plan as literals, so both uses of the rows fall into the same ranges,
-    whatever columns either reads. A group may span any number of ranges, and
-    peers, rows equal in (by, order), share one.
+    Rows are dealt by ranges of (by, order) and written once with the number of
+    their range; sums run within a range, and the ranges' totals run on their
+    own, as many rows as ranges and one more for each group. Spark takes the
+    bounds, as many as it has shuffle partitions (or ``parts``), and they stay in
+    the shuffle. A group may span any number of ranges, and peers, rows equal in
+    (by, order), share one.
     """
+    part, before, summed, of = (fresh(c, [*rows.columns, name, total]) for c in ("_part", "_before", "_sum", "_of"))
+    keys = [F.col(c) for c in (*by, *order)]
+    ranged = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    marked = written(ranged.withColumn(part, F.spark_partition_id()))
     w = F.col(weight).cast(decimal) if decimal else F.col(weight)
-    marked = rows.withColumn("_part", _ranges(rows, [*by, *order], parts_of))
-    totals = marked.groupBy("_part", *by).agg(F.sum(w).alias("_sum"))
+    totals = marked.groupBy(part, *by).agg(F.sum(w).alias(summed))
     series = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = series.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = series.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # as many rows as ranges, and one more for each group
-    totals = totals.select("_part", *by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(whole).alias("total"))
-    keys = ["_part", *by]
-    names = {k: f"_of{i}" for i, k in enumerate(keys)}
-    totals = totals.select(*[F.col(k).alias(n) for k, n in names.items()], "_before", "total")
+    names = {k: f"{of}{i}" for i, k in enumerate((part, *by))}
+    totals = totals.select(*[F.col(k).alias(n) for k, n in names.items()], F.coalesce(F.sum(summed).over(earlier), F.lit(0)).alias(before), F.sum(summed).over(whole).alias(total))
     same = F.lit(True)
     for k, n in names.items():
         same = same & marked[k].eqNullSafe(F.col(n))
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = marked.withColumn(name, F.sum(w).over(within))
-    return summed.join(totals, same).withColumn(name, F.col("_before") + F.col(name)).drop("_part", "_before", *names.values())
-
-
-def _ranges(rows: DataFrame, keys: Sequence[str], parts_of: int) -> Column:
-    """The number of the range of ``keys`` that a row is in, by bounds that are as many as ``parts_of`` goes into the rows."""
-    n = rows.count()
-    if n <= parts_of:
-        return F.lit(0)
-    parts, share = -(-n // parts_of), min(1.0, 64 * (n / parts_of) / n)
-    # a sample of some dozens of rows a range, by a hash of the keys
-    drawn = rows.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct().orderBy(*keys)
-    found = drawn.collect()
-    bounds = [tuple(found[len(found) * i // parts]) for i in range(1, parts) if found]
-    kinds = [rows.schema[k].dataType for k in keys]
-    # the greatest bound that is not above the row: bounds are in order, so a binary search over literals
-    here = F.struct(*[F.col(k) for k in keys])
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        bound = F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(bounds[middle], kinds, keys, strict=True)])
-        return F.when(here < bound, search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(bounds))
+    within = Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn(name, F.sum(w).over(within)).join(totals, same).withColumn(name, F.col(before) + F.col(name)).drop(part, before, *names.values())
 
 
 def word_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -123,9 +102,10 @@ def percentiles(rows: DataFrame, value: str, by: Sequence[str], points: Sequence
     no task sorts all values of a large group.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    ranks = cumulative(counts, [value], "c", "up", by=by)
+    total = fresh("total", counts.columns)
+    ranks = cumulative(counts, [value], "c", "up", total=total, by=by)
     asked = F.array(*[F.lit(p) for p in points])
-    rank = lambda p: F.floor((p * F.col("total") + 99) / 100)
+    rank = lambda p: F.floor((p * F.col(total) + 99) / 100)
     hit = F.filter(asked, lambda p: (rank(p) <= F.col("up")) & (rank(p) > F.col("up") - F.col("c")))
     return ranks.select(*by, F.explode(hit).alias("p"), F.col(value).alias("value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.scalars import micros
+from sextant.scratch import fresh
 
 
 def neighbours(rows: DataFrame, by: Sequence[str], time: str, tie: str) -> DataFrame:
@@ -70,5 +71,6 @@ def every_nth(rows: DataFrame, key: str, count: str, limit: int, n: int = 5) ->
     """``star``: true for every ``n``-th row, in order of ``key``, of those with a count under ``limit``."""
     from .aggregates import cumulative
 
-    marked = rows.withColumn("_one", F.when(F.col(count) < limit, 1).otherwise(0))
-    return cumulative(marked, [key], "_one", "_at").withColumn("star", (F.col("_one") == 1) & (F.col("_at") % n == 0)).drop("_one", "_at", "total")
+    one, at, total = (fresh(c, rows.columns) for c in ("_one", "_at", "total"))
+    marked = rows.withColumn(one, F.when(F.col(count) < limit, 1).otherwise(0))
+    return cumulative(marked, [key], one, at, total=total).withColumn("star", (F.col(one) == 1) & (F.col(at) % n == 0)).drop(one, at, total)

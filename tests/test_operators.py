@@ -105,7 +105,7 @@ def test_percentiles_and_quantiles(spark):
 
 def test_cumulative_over_many_parts(spark):
     rows = frame(spark, [(i, i % 7) for i in range(500)], "k int, w int")
-    got = {r.k: (r.c, r.total) for r in aggregates.cumulative(rows, ["k"], "w", "c", 9).collect()}
+    got = {r.k: (r.c, r.total) for r in aggregates.cumulative(rows, ["k"], "w", "c", parts=9).collect()}
     assert all(got[k] == (sum(i % 7 for i in range(k + 1)), sum(i % 7 for i in range(500))) for k in range(500))
 
 
@@ -315,7 +315,7 @@ def test_running_sums_over_many_ranges(spark):
         F.when(F.col("id") % 3 > 0, F.lit("large")).when(F.col("id") % 17 > 0, F.lit("small")).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("more"),
     )
     for by in ((), ("g",)):
-        got = cumulative(rows, ["k", "more"], "w", "up", by=by, parts_of=5_000)
+        got = cumulative(rows, ["k", "more"], "w", "up", by=by, parts=24)
         series = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         want = rows.withColumn("up", F.sum("w").over(series.orderBy("k", "more").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(series))
         columns = ["k", "w", "g", "more", "up", "total"]
