@@ -100,20 +100,23 @@ def thresholds(combos: DataFrame, matches: DataFrame) -> DataFrame:
     return met.where(F.col("matched") >= F.col("m")).groupBy("cid", "matched").agg(F.count("*").alias("n"))
 
 
-def reorder(combos: DataFrame, matches: DataFrame) -> DataFrame:
+def reorder(combos: DataFrame, matches: DataFrame, first: str | None = None) -> DataFrame:
     """(cid, pos, qid): terms in greedy order, the smallest first, then the one that leaves fewest rows.
 
-    Works on the counts of each subset of a combination's terms, which Spark
-    aggregates; only these counts, at most 2^n for n terms, meet in a group.
+    Where the boolean column ``first`` marks a combination's term, that one
+    stands first. Works on the counts of each subset of a combination's terms,
+    which Spark aggregates; only these counts, at most 2^n for n terms, meet in a group.
     """
     joined = combos.join(matches, "qid").groupBy("cid", "id").agg(F.sort_array(F.collect_set("qid")).alias("terms"))
     patterns = joined.groupBy("cid", "terms").agg(F.count("*").alias("n"))
-    whole = combos.groupBy("cid").agg(F.sort_array(F.collect_set("qid")).alias("all"))
+    marked = F.max(F.when(F.col(first), F.col("qid"))) if first else F.lit(None).cast("long")
+    whole = combos.groupBy("cid").agg(F.sort_array(F.collect_set("qid")).alias("all"), marked.alias("first"))
 
     def order(group: pa.Table) -> pa.Table:
-        cid, left = group.column("cid")[0].as_py(), list(group.column("all")[0].as_py())
+        cid, left, start = group.column("cid")[0].as_py(), list(group.column("all")[0].as_py()), group.column("first")[0].as_py()
         rows = [(set(t or ()), n or 0) for t, n in zip(group.column("terms").to_pylist(), group.column("n").to_pylist(), strict=True)]
-        chosen: list[int] = []
+        chosen: list[int] = [] if start is None else [start]
+        left = [q for q in left if q != start]
         while left:
             best = min(left, key=lambda q: (sum(n for t, n in rows if t.issuperset([*chosen, q])), q))
             chosen.append(best)

@@ -82,11 +82,6 @@ def wl_refine(spark: SparkSession, d: str) -> DataFrame:
     return W.refine(q, _hits(spark, d)).select(F.concat_ws("=", "field", "value").alias("q"), "n")
 
 
-@query(f"SELECT field, min(q) AS q FROM ({_T}) GROUP BY 1")
-def wl_reffoo(spark: SparkSession, d: str) -> DataFrame:
-    return W.one_each(_terms(spark, d).select(F.concat_ws("=", "field", "value").alias("q"), "field"), "field", "q")
-
-
 _N = f"SELECT q, field, count(*) AS n FROM ({_T}) GROUP BY 1, 2"
 
 
@@ -490,16 +485,6 @@ def wl_ta2(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_mktsegment", (F.col("qid") * 2000).cast("int").alias("low"), "n")
 
 
-@query("WITH x AS (SELECT l_partkey AS qid, abs(l_linenumber - l_quantity)::INTEGER AS distance FROM lineitem), n AS (SELECT qid, count(*) AS n FROM x GROUP BY 1) SELECT qid, distance, count(*) AS tier FROM x JOIN n USING (qid) WHERE n BETWEEN 10 AND 40 GROUP BY 1, 2")
-def wl_refprox(spark: SparkSession, d: str) -> DataFrame:
-    """Tier sizes by distance, in rank order, of the queries whose size is in the band."""
-    from sextant.operators.aggregates import by_distance
-
-    m = table(spark, d, "lineitem").select(F.col("l_partkey").alias("qid"), F.abs(F.col("l_linenumber") - F.col("l_quantity")).cast("int").alias("distance"))
-    good = W.counted(m).where("n between 10 and 40").select("qid")
-    return by_distance(m.join(good, "qid", "left_semi")).withColumnRenamed("n", "tier")
-
-
 @query("SELECT event_type, count(*) AS n_subs, CAST(sum(hits) AS BIGINT) AS n_hits FROM (SELECT t.event_type, t.user_id, (SELECT count(*) FROM events e WHERE e.event_type = t.event_type AND e.user_id = t.user_id) AS hits FROM (SELECT DISTINCT event_type, user_id FROM events) t) GROUP BY 1")
 def ps_gen(spark: SparkSession, d: str) -> DataFrame:
     """Subscriptions generated from the publications' values, with their match counts."""
