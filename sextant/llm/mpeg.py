@@ -56,6 +56,10 @@ def _head(bitrate_index: int) -> bytes:
 _HEADS = {kind: _head(kind[0]) for kind in (WIDE, NARROW)}
 
 
+#: A version 1 tag without entries. It ends every stored stream, so no payload can be taken for one.
+LAST_TAG = b"TAG" + bytes(124) + b"\xff"
+
+
 def _synchsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -80,14 +84,14 @@ def store(payload: bytes) -> bytes:
             sizes.append(np.full(n, size))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     first = bytearray(NARROW[1])
-    total, frames_n = NARROW[1] + int(offsets[-1]), len(offsets) - 1
+    total, frames_n = NARROW[1] + int(offsets[-1]), len(offsets) - 1  # as players count: without tags
     points = (NARROW[1] + offsets[np.arange(100) * frames_n // 100]) * 256 // total
     xing = b"Xing" + (7).to_bytes(4, "big") + frames_n.to_bytes(4, "big") + total.to_bytes(4, "big") + bytes(np.minimum(points, 255).astype(np.uint8))
     first[:HEAD] = _HEADS[NARROW]
     first[HEAD : HEAD + len(xing)] = xing
     text = b"\x03" + f"{len(payload)} bytes".encode()
     frame = b"TIT2" + _synchsafe(len(text)) + b"\0\0" + text
-    return b"ID3\4\0\0" + _synchsafe(len(frame)) + frame + bytes(first) + b"".join(parts)
+    return b"ID3\4\0\0" + _synchsafe(len(frame)) + frame + bytes(first) + b"".join(parts) + LAST_TAG
 
 
 def header(data: bytes, at: int) -> tuple[int, int, int, int, bool, int] | None:
@@ -182,10 +186,10 @@ class Stream:
 
 
 def read_back(data: bytes, stream: Stream) -> bytes:
-    """The payload of a stream that :func:`store` made."""
+    """The payload of a stream that :func:`store` made; frames of other sizes hold none."""
     view = memoryview(data)
     room = {kind[1]: kind[2] for kind in (WIDE, NARROW)}
-    return b"".join(view[at + HEAD : at + HEAD + room[size]] for at, size in stream.frames)
+    return b"".join(view[at + HEAD : at + HEAD + room.get(size, 0)] for at, size in stream.frames)
 
 
 FEATURES = [
@@ -198,7 +202,10 @@ FEATURES = [
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``n_bytes`` of the text in UTF-8, and ``media``, the stream that holds it padded.
 
-    A null text counts as empty; an empty text becomes one unit of spaces.
+    A null text counts as empty; an empty text becomes one unit of spaces. Equal
+    texts have equal streams, repeated rows stay, an empty table gives an empty
+    one, texts of any length are stored whole, and columns of ``docs`` may have
+    any name.
     """
 
     def make() -> Callable:
@@ -215,8 +222,9 @@ def parse(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc
     """``keep`` and FEATURES of each stream; a null or empty stream has no frames.
 
     ``offsets`` has the byte offset of each frame, so frame k starts at sample
-    k * 1152 (MPEG-1 Layer III). ``payload`` is null with ``payload=False``,
-    which reads streams from elsewhere.
+    k * 1152 (MPEG-1 Layer III). ``payload`` is null with ``payload=False``, and
+    empty for streams from elsewhere. Repeated rows, empty tables, long streams
+    and clashing names are as in :func:`encode`.
     """
 
     def one(data: bytes | None) -> tuple:
