@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from ._neardup import STEP, mixed
 from ._shared import col, cut, scan, table
 
-#: Labelled rows that the trigram model is fitted on, about; languages and buckets bound the model.
-TRAIN_ROWS, MAX_LANGUAGES, BUCKETS = 8000, 64, 1 << 15
+#: Labelled rows that the trigram model is fitted on, about; every language has an equal share, of LEAST_ROWS at least.
+TRAIN_ROWS, LEAST_ROWS, BUCKETS = 8000, 50, 1 << 15
 #: A text's trigrams count as this many independent ones at most.
 EFFECTIVE = 40.0
 #: Rows that a parent's distribution weighs in its children's; pseudo-counts of the likelihood tables.
@@ -47,16 +47,18 @@ def trigrams(text: str) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages in order, log probabilities by language and bucket).
 
-    Fitted on a hash sample of about ``train_rows`` labelled rows, or on all when
-    there are fewer; tasks send counts by language and bucket, and the model that
-    comes to the driver is at most MAX_LANGUAGES x BUCKETS numbers: of more
-    languages those with the most rows. Null labels are left out.
+    Fitted on a hash sample of about ``train_rows`` labelled rows, divided evenly
+    among the languages (LEAST_ROWS for each at least, all rows of those that have
+    fewer), so every label is in the model, a rare one too. Rows are drawn one by
+    one, so copies of a text are not all in or all out. Tasks send counts by
+    language and bucket; what comes to the driver is languages x BUCKETS numbers.
+    Null labels are left out.
     """
-    known = docs.select(col(text).alias("text"), col(lang).alias("lang")).where("lang is not null")
-    n = known.count()
-    share = min(1.0, train_rows / n) if n else 1.0
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    languages = sorted(r["lang"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    known = docs.select(col(text).alias("text"), col(lang).alias("lang"), F.xxhash64(*[col(c) for c in docs.columns]).alias("h")).where("lang is not null")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    share = max(LEAST_ROWS, train_rows // max(1, len(languages))) / F.col("n")
+    sample = known.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40)).select("text", "lang")  # a row a language
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
