@@ -342,3 +342,15 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
             out = stage(spark, rows, DATA)
             assert name == "bpe_encoding" or out.columns == rows.columns
             assert out.count() <= 3 * max(1, rows.count())
+
+
+def test_a_passage_that_a_document_repeats_is_whole_in_each_place(spark):
+    passage = " ".join(f"shared{i}x" for i in range(50))
+    own = lambda d, k: " ".join(f"own{d}q{k}w{i}" for i in range(70))
+    docs = spark.createDataFrame(
+        [(1, " ".join([own(1, 0), passage, own(1, 1), passage, own(1, 2), passage, own(1, 3)])), (2, f"{own(2, 0)} {passage} {own(2, 1)}")], "doc_id long, text string"
+    )
+    got = {(r.doc_id, r.first_word): (r.n_words, r.n_removed) for r in paragraphs.repeats(docs).collect()}
+    starts = {(1, 70 + 120 * k) for k in range(3)} | {(2, 70)}
+    assert set(got) == starts and all(n == 50 for n, _ in got.values())
+    assert got[1, 70][1] == 0 and sum(removed for _, removed in got.values()) == 150

@@ -129,7 +129,7 @@ def test_media_round_trip_and_damage(spark, odd, empty):
     at = mpeg.Stream(bytes(broken)).frames[2][0]
     broken[at + 10] ^= 1
     assert mpeg.Stream(bytes(broken)).failed == 1
-    joined = bytes(broken[:at]) + b"junk\xff\xe0\xff" + bytes(broken[at:]) + b"TAG" + bytes(125)
+    joined = bytes(broken[:at]) + b"junk\xff\xe0\xff" + bytes(broken[at:])  # a stored stream ends with a tag of its own
     s = mpeg.Stream(joined)
     assert s.skipped == 7 and s.tags == 2 and len(s.frames) == len(mpeg.Stream(bytes(broken)).frames)
     texts = {d: t for d, t in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
@@ -144,3 +144,30 @@ def test_slices_hold_every_row():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 100, "", "c"])], names=["t"])
     assert sum((x.column(0).to_pylist() for x in slices(batch, 0, 50)), []) == batch.column(0).to_pylist()
+
+
+def test_media_keeps_texts_that_look_like_tags():
+    for units in (1, 2, 3, 4, 5, 7, 8):
+        for at in range(mpeg.UNIT - 3):
+            payload = bytearray(b" " * (units * mpeg.UNIT))
+            payload[-mpeg.UNIT + at : -mpeg.UNIT + at + 3] = b"TAG"
+            stored = mpeg.store(bytes(payload))
+            s = mpeg.Stream(stored)
+            assert mpeg.read_back(stored, s) == payload and s.tags == 2 and not s.skipped
+
+
+def test_media_reads_streams_from_elsewhere(spark):
+    frame = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(413)  # 128 kbit/s at 44.1 kHz: 417 bytes
+    df = spark.createDataFrame([(1, frame * 5), (2, b"TAG" + bytes(125)), (3, None)], "doc_id long, media binary")
+    got = {r.doc_id: (r.n_frames, bytes(r.payload), r.n_tags) for r in mpeg.parse(df).collect()}
+    assert got == {1: (5, b"", 0), 2: (0, b"", 1), 3: (0, b"", 0)}
+
+
+def test_every_labelled_language_is_in_the_model(spark):
+    from sextant.llm import langid
+
+    rows = [(i * 100 + k, f"word{i} and thing{i} of kind{i}", f"l{i:03d}") for i in range(90) for k in range(1 + i % 3)]
+    rows += [(90_000 + k, "the one common text", "l000") for k in range(3000)]
+    languages, logs = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=900)
+    assert languages == [f"l{i:03d}" for i in range(90)] and logs.shape == (90, langid.BUCKETS)
+    assert all(logs[i].max() > logs[i].min() for i in range(90))
