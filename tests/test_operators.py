@@ -244,14 +244,32 @@ def test_table_sink(spark, tmp_path):
 
 def test_client_log(spark, tmp_path):
     (tmp_path / "log").write_text(
-        "[10.0] ID 0-1 sent\n[10.0] ID 0-1 QID 7: [[SELECT * FROM main WHERE x]]\n[10.5] ID 0-1 event 99 occurred\n[12.0] ID 0-1 results:\n30 abc\n4 0f\n"
-        "[13.0] ID 0-2 sent\n[13.0] ID 0-2 QID 8: [[SELECT id FROM main WHERE y]]\n[14.0] ID 0-2 results:\nFAILED\nbroken\nENDFAILED\n[15.0] ID 0-3 sent\n"
+        "[9.0] 2013-01-02 03:04:05 LAB-x-TC7_y\n[10.0] ID 0-1 sent\n[10.0] ID 0-1 QID 7: [[SELECT a, b FROM main WHERE x = ']]']]\n[10.5] ID 0-1 event 99 occurred\n[12.0] ID 0-1 results:\n30 abc\n4 0f\n"
+        "[12.5] ID 0-1 event 5 with value [[77]] occurred\n17\nrow text\n[9.5] ID 0-1 event 3 occurred\n"
+        "[13.0] ID 0-2 sent\n[13.0] ID 0-2 QID 8: [[SELECT id FROM main WHERE y]]\n[14.0] ID 0-2 results:\nFAILED with reason\nbroken 5\n\n[14.5] ID 0-2 event 6 occurred\nmore\nENDFAILED\n12 ab\nFAILED\nENDFAILED\n"
+        "[15.0] ID 0-3 sent\nstray\n[16.0] something else\n[16.5] ID 0-4 QID 9: [[SELECT id FROM main WHERE z]]\n[17.0] ID 0-4 results:\n1\n"
+        "[18.0] END_OF_LOG\n[19.0] ID 0-5 sent\n[19.0] ID 0-5 QID 7: [[SELECT * FROM main WHERE x]]\n[20.0] ID 0-5 results:\n"
     )
-    rows = {r.cmd: r for r in logs.client(files.numbered_lines(spark, str(tmp_path / "log"))).collect()}
-    assert set(rows) == {"0-1", "0-2"}
-    r = rows["0-1"]
-    assert (r.qid, r.cols, r.latency, [int(i) for i in r.ids], r.hashes, r.events) == (7, "*", 2.0, [4, 30], ["0f", "abc"], ["99"])
-    assert rows["0-2"].failures == ["broken"] and rows["0-2"].ids == []
+    lines = files.numbered_lines(spark, str(tmp_path / "log"))
+    for parts in (None, 1, 5, 40):
+        rows = {r.cmd: r for r in logs.client(lines, parts).collect()}
+        assert set(rows) == {"0-1", "0-2"}
+        r = rows["0-1"]
+        assert (r.performer, r.test_case, r.qid, r.cols, r.query, r.latency) == ("LAB", "TC7", 7, "a, b", "x = ']]'", 2.0)
+        assert ([int(i) for i in r.ids], r.hashes, r.bad_ids) == ([4, 17, 30], ["0f", "abc"], ["row text"])
+        assert (r.events, r.event_times, r.event_values, r.status) == (["99", "5"], [10.5, 12.5], [None, "77"], [])
+        r = rows["0-2"]
+        assert (r.status, r.failures, [int(i) for i in r.ids], r.events) == (["FAILED", "broken 5", "more", "FAILED"], ["FAILED with reason", "broken 5", "more", "FAILED"], [12], ["6"])
+
+
+def test_context_is_carried_over_any_ranges(spark):
+    made = [(f"f{i % 3}", i, f"v{i}" if i % 7 == 0 else None, i if i % 50 == 3 else None) for i in range(300)]
+    df = frame(spark, made, "file string, line long, a string, b int")
+    for parts in (1, 4, 60):
+        got = {(r.file, r.line): (r.x, r.y) for r in logs.carry(df, {"x": F.col("a"), "y": F.col("b")}, parts).collect()}
+        for f, i, *_ in made:
+            before = [m for m in made if m[0] == f and m[1] <= i]
+            assert got[f, i] == (next((m[2] for m in reversed(before) if m[2]), None), next((m[3] for m in reversed(before) if m[3] is not None), None))
 
 
 def test_server_and_circuit_logs(spark, tmp_path):
@@ -259,9 +277,17 @@ def test_server_and_circuit_logs(spark, tmp_path):
     rows = {r.cmd: r for r in logs.server(files.numbered_lines(spark, str(tmp_path / "s"))).collect()}
     assert (rows["1-1"].mid, rows["1-1"].category, int(rows["1-1"].record_id), rows["1-1"].latency) == (5, "insert", 44, 2.5)
     assert rows["1-2"].verification == 0 and int(rows["1-2"].record_id) == 45
-    (tmp_path / "c").write_text("TEST: t\nPERFORMER: p\nTIME: 9\nKEYGEN: 1.5\nTEST: u\nPERFORMER: p\nTIME: 10\nKEYGEN: 2.5\nENCRYPTION: 3\n")
-    got = logs.circuit(files.numbered_lines(spark, str(tmp_path / "c")), ["KEYGEN", "ENCRYPTION"]).orderBy("test").collect()
-    assert [(r.test, r.KEYGEN, r.ENCRYPTION) for r in got] == [("t", "1.5", None), ("u", "2.5", "3")]
+    (tmp_path / "c").write_text(
+        "junk: 1\nTEST: t of it\nPERFORMER: a lab\nTIME: 2013-01-01 00:00:09\nKEYPARAMS: k1\nKEYGEN: 1.5\nKEYGEN: 1.75\nINPUT: i1\nENCRYPT: 3\nDECRYPTED RESULT: [01]\nKEYSIZE: 9\n"
+        "TEST: u of it\nINPUT: i1\nRECOVERY\nDECRYPT: 2\nINPUT: i1\n"
+    )
+    for parts in (None, 7):
+        got = [tuple(r)[1:] for r in logs.circuit(files.numbered_lines(spark, str(tmp_path / "c")), parts).orderBy("record").collect()]
+        at = ("a lab", "2013-01-01 00:00:09")
+        assert got == [
+            (5, "t", *at, "KEYPARAMS", "k1", False, {"KEYGEN": "1.75"}), (8, "t", *at, "INPUT", "i1", False, {"ENCRYPT": "3", "DECRYPTED RESULT": "[01]"}),
+            (13, "u", *at, "INPUT", "i1", True, {"DECRYPT": "2"}), (16, "u", *at, "INPUT", "i1", False, {}),
+        ]
 
 
 # -- streams -------------------------------------------------------------------------------------------------
