@@ -173,6 +173,31 @@ def pack(queries: DataFrame, by: Sequence[str], limit: float) -> DataFrame:
     return queries.select(*by, "band", F.col("qid").cast("long").alias("qid"), F.col("seconds").cast("double").alias("seconds")).groupBy(*by, "band").applyInArrow(run, schema)
 
 
+def effect(rows: DataFrame, changes: DataFrame, queries: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(qid, n_pre, n_post, lost, gained): what a set of changes does to equality queries (qid, field, value).
+
+    ``changes``: ``op`` (insert, update or delete), the key and the fields, whole
+    rows for inserts and updates. Postings are counted on the table once; after
+    that only the changed rows are looked at, in their old form and their new
+    one: a query loses ids that only the old form meets and gains those that only
+    the new form meets. ``lost`` and ``gained`` are sorted ids, as many as there
+    are changes at most. Changes of keys that are missing (update, delete) or
+    there already (insert) do nothing.
+    """
+    named = changes.select(F.col("op").alias("_op"), F.col(key).alias("_key"), *[F.col(f).alias(f"_{f}") for f in fields])
+    met = rows.select(key, *fields).join(named, F.col(key) == F.col("_key"), "right")
+    good = met.where((F.col("_op") == "insert") == F.col(key).isNull())
+    old = evaluate_equal(good.where("_op <> 'insert'").select(key, *fields), queries, key, fields)
+    new = evaluate_equal(good.where("_op <> 'delete'").select(F.col("_key").alias(key), *[F.col(f"_{f}").alias(f) for f in fields]), queries, key, fields)
+    both = old.select("qid", "id", F.lit(1).alias("was"), F.lit(0).alias("now")).union(new.select("qid", "id", F.lit(0), F.lit(1)))
+    moved = both.groupBy("qid", "id").agg(F.max("was").alias("was"), F.max("now").alias("now")).where("was <> now")
+    listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c) == 1, F.col("id"))))
+    delta = moved.groupBy("qid").agg(F.sum(F.col("now") - F.col("was")).alias("_d"), listed("was").alias("lost"), listed("now").alias("gained"))
+    none = F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>")
+    counts = queries.select("qid").distinct().join(counted(evaluate_equal(rows, queries, key, fields)), "qid", "left").withColumn("n_pre", F.coalesce("n", F.lit(0)))
+    return counts.join(delta, "qid", "left").select("qid", "n_pre", (F.col("n_pre") + F.coalesce("_d", F.lit(0))).alias("n_post"), F.coalesce("lost", none).alias("lost"), F.coalesce("gained", none).alias("gained"))
+
+
 def value_candidates(distribution: DataFrame, field: str, value: str, category: str, low: float, high: float, n: int, seed: int) -> DataFrame:
     """Up to ``2 n`` equality candidates of a field whose share of the rows lies in [low, high], by seeded hash order."""
     total = distribution.agg(F.sum("weight").alias("_t"))

@@ -1,11 +1,14 @@
-"""Registered queries: harness logs, written line by line from the tables and parsed back."""
+"""Registered queries: harness logs, written line by line from the tables and parsed back; modifications, answers to
+commands, and an aggregator of the user's own."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators import logs
+from sextant.operators import logs, user
+from sextant.operators import workload as W
+from sextant.streaming import pubsub
 
 from ._tables import table
 
@@ -88,3 +91,63 @@ def log_3(spark: SparkSession, d: str) -> DataFrame:
     out = logs.circuit(rows)
     result = F.coalesce(F.col("measures")["KEYSIZE"], F.col("measures")["DECRYPTED RESULT"])
     return out.select(F.floor(F.col("record") / 20).alias("id"), "test", "performer", "section", "path", "recovery", result.alias("result"), F.size("measures").alias("n"))
+
+
+# -- modifications, answers, user aggregators ---------------------------------------------------------------------
+
+
+@query("""WITH post AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 1 THEN 'F' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 10 <> 0
+ UNION ALL SELECT o_orderkey + 1000000000, 'P' FROM orders WHERE o_orderkey % 10 = 2),
+ n AS (SELECT s AS q, (SELECT count(*) FROM orders WHERE o_orderstatus = s) AS n_pre, (SELECT count(*) FROM post WHERE post.s = v.s) AS n_post,
+ (SELECT count(*) FROM orders o WHERE o_orderstatus = s AND NOT EXISTS (SELECT 1 FROM post WHERE post.id = o_orderkey AND post.s = v.s)) AS n_lost,
+ (SELECT min(id) FROM post WHERE post.s = v.s AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = id AND o_orderstatus = v.s)) AS first_gained FROM (SELECT DISTINCT o_orderstatus AS s FROM orders) v)
+ FROM n""")
+def wl_mods_effect(spark: SparkSession, d: str) -> DataFrame:
+    """Status queries before and after a tenth of the orders is deleted, a tenth set to F and as many added as P."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    op = F.when(k % 10 == 0, "delete").when(k % 10 == 1, "update").when(k % 10 == 2, "insert")
+    changes = o.where("o_orderkey % 10 < 3").select(op.alias("op"), F.when(k % 10 == 2, k + 1_000_000_000).otherwise(k).alias("o_orderkey"), F.when(k % 10 == 1, "F").when(k % 10 == 2, "P").otherwise(s).alias("o_orderstatus"))
+    named = o.select(s.alias("value")).distinct().select(F.crc32("value").alias("qid"), F.lit("o_orderstatus").alias("field"), "value")
+    out = W.effect(o, changes, named, "o_orderkey", ["o_orderstatus"]).join(named, "qid")
+    return out.select(F.col("value").alias("q"), "n_pre", "n_post", F.size("lost").cast("long").alias("n_lost"), F.get("gained", F.lit(0)).alias("first_gained"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 <> 0 AND value <= 60 THEN CAST(floor(value * 1000) AS BIGINT) / 1000.0 END AS latency FROM events WHERE event_id % 2 = 0""")
+def ps_sublat(spark: SparkSession, d: str) -> DataFrame:
+    """Every other event is a command; two of three are answered ``value`` seconds later, twice, and count within a minute."""
+    e = table(spark, d, "events").where("event_id % 2 = 0")
+    later = lambda more: F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 1000) * 1000 + more)
+    commands = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    answered = e.where("event_id % 6 <> 0")
+    answers = answered.select("event_id", later(0).alias("ts")).union(answered.select("event_id", later(5_000_000)))
+    return pubsub.command_latency(commands, answers, "event_id", "ts", "60 seconds").select("event_id", "latency")
+
+
+class Largest(user.Aggregator):
+    """The number of values and the largest few, in falling order."""
+
+    result = "n long, largest array<double>"
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def start(self) -> tuple:
+        return 0, []
+
+    def add(self, state: tuple, value: float | None) -> tuple:
+        n, top = state
+        if value is None:
+            return state
+        return n + 1, sorted([*top, value], reverse=True)[: self.k] if len(top) < self.k or value > top[-1] else top
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], sorted(a[1] + b[1], reverse=True)[: self.k]
+
+    def finish(self, state: tuple) -> tuple:
+        return state
+
+
+@query("SELECT event_type, count(value) AS n, list_slice(list_sort(list(value), 'DESC', 'NULLS LAST'), 1, 3) AS largest FROM events GROUP BY 1")
+def u_3(spark: SparkSession, d: str) -> DataFrame:
+    return user.aggregate(table(spark, d, "events"), ["event_type"], ["value"], Largest(3))
