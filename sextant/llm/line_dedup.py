@@ -8,7 +8,8 @@ lengths always share one. Lines that agree in a block and whose SimHashes differ
 in FAR bits at most are candidates; edit similarity is verified on the normalised
 text, and one occurrence of each connected group of lines stays in the corpus.
 
-Words are too coarse for lines under MIDDLE characters: those meet in MinHash
+Words are too coarse for lines under MIDDLE characters and for those of fewer
+than WORDY words (addresses, scripts without spaces): those meet in MinHash
 bands of 3-grams, under SHORT characters by pigeonhole on pieces of their text,
 which loses no pair.
 """
@@ -32,6 +33,8 @@ SIMILARITY = 0.8
 RUN = 2048
 #: Characters below which pieces find every pair, and below which 3-grams stand for words.
 SHORT, MIDDLE = 25, 80
+#: Lines of fewer distinct words, however long (addresses, scripts without spaces), meet by 3-grams as well.
+WORDY = 12
 #: Words of a block at the coarser scale, at the least. Blocks of fewer than LEAST_BLOCK words say too little to
 #: join by; lines under FEW_WORDS, which have few blocks, join by blocks of one word less, too.
 BLOCK_WORDS, LEAST_BLOCK, FEW_WORDS = 5, 4, 25
@@ -222,9 +225,9 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     """(id, doc, pos, node, more, sig, words, blocks, bands, item, pieces) of every line with a word.
 
     ``node`` and ``more`` are 128 bits of a digest of the normalised line, ``sig``
-    its SimHash, of 3-grams for lines from SHORT to MIDDLE and else of words;
-    ``words`` has the SimHash of words of those that can be similar to lines on
-    either side of MIDDLE. The rest stands where a task first meets a line:
+    its SimHash, of 3-grams for lines from SHORT to MIDDLE and those of fewer than
+    WORDY words, and else of words; ``words`` has the SimHash of words of those
+    that can be similar to lines on either side of MIDDLE or WORDY. The rest stands where a task first meets a line:
     ``blocks`` to join SimHashes of words by, ``bands`` for those of 3-grams, and
     ``pieces`` of the text ``item`` of short lines.
     """
@@ -268,10 +271,11 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
                             if len(seen) > 100_000:
                                 seen.clear()
                             seen.add(key)
-                        if len(joint) >= 4 * MIDDLE:  # more characters than that in any writing
+                        few = len(distinct) < WORDY
+                        if len(joint) >= 4 * MIDDLE and not few:  # more characters than that in any writing
                             continue
                         item = joint.decode("utf-8", "replace")
-                        if max(3, SHORT * least - 1) <= len(item) < MIDDLE:
+                        if max(3, SHORT * least - 1) <= len(item) and (few or len(item) < MIDDLE):
                             gram_rows.append(row)
                             gram_values.append(grams(item))
                         if new and len(item) < SHORT:

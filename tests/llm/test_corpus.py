@@ -355,3 +355,18 @@ def test_a_passage_that_a_document_repeats_is_whole_in_each_place(spark):
     assert set(got) == starts and all(n == 50 for n, _ in got.values())
     # the first place stays and the other document's goes; within a document only whole paragraphs go
     assert got[1, 70][1] == 0 and got[2, 70][1] == 50 and all(0 < got[1, 70 + 120 * k][1] <= 50 for k in (1, 2))
+
+
+def test_long_lines_of_few_words_meet(spark):
+    address = "https://example.com/a/rather/long/path/" + "".join(f"part{i}-" for i in range(10)) + "index.html"
+    script = "".join(chr(0x3042 + i * 7 % 80) + chr(0x4E00 + i * 37) for i in range(45))
+    two = "x" * 20 + "".join(f"q{i}z" for i in range(15)) + " " + "".join(f"w{i}k" for i in range(15))
+    many = "-".join(f"token{i}" for i in range(900))
+    made = []
+    for k, line in enumerate((address, script, two, many)):
+        at = len(line) // 2
+        made += [(10 * k, line), (10 * k + 1, line[:at] + "é" + line[at + 1 :])]
+    made.append((99, "https://example.org/" + "".join(chr(97 + i * 11 % 26) for i in range(90))))
+    assert all(len(line) >= 80 for _, line in made)
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert {d for d, t in out.items() if t == ""} == {1, 11, 21, 31}
