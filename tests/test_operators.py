@@ -109,6 +109,13 @@ def test_cumulative_over_many_parts(spark):
     assert all(got[k] == (sum(i % 7 for i in range(k + 1)), sum(i % 7 for i in range(500))) for k in range(500))
 
 
+def test_running_sums_keep_the_callers_columns(spark):
+    rows = frame(spark, [(i, 10 * i, i, i) for i in range(1, 8)], "k int, total int, _part int, n int")
+    star = {r.k: (r.total, r._part, r.star) for r in windows.every_nth(rows, "k", "n", 7, 3).collect()}
+    assert star == {i: (10 * i, i, i in (3, 6)) for i in range(1, 8)}
+    assert {(r.k, r.total, r.up_to, r.n_from) for r in aggregates.running(rows, "k").collect()} == {(i, 10 * i, i * (i + 1) // 2, 28 - i * (i - 1) // 2) for i in range(1, 8)}
+
+
 def test_gap_at_the_bound_splits(spark):
     at = [dt.datetime(2024, 1, 1, 0, 0, s) for s in (0, 5, 15, 24)]
     rows = frame(spark, [(1, t) for t in at], "u int, ts timestamp")
