@@ -234,3 +234,76 @@ def shape(p: Predicate) -> dict[str, int]:
 
     visit(p)
     return found
+
+
+#: Tokens of a WHERE text: quoted text, brackets, commas, numbers and words; signs say nothing of the shape.
+TOKENS = r"'(?:[^']|'')*'|[(),]|[\p{L}_][\p{L}\p{N}_.]*|[0-9][0-9.]*"
+_FRAME = "struct<kind:string,negated:boolean,ors:int,ands:int,run:int,longest:int,depth:int,inner_or:boolean,inner:boolean,commas:int>"
+_STATE = f"struct<stack:array<{_FRAME}>,last:string,or_fan_in:int,and_fan_in:int,depth:int,terms:int,m:int,n:int,dnf:boolean>"
+
+
+def text_shape(where: str | Column) -> Column:
+    """or_fan_in, and_fan_in, depth, terms, m, n and dnf of a WHERE text, by one fold of a stack over its tokens.
+
+    Brackets open a frame, of a group, of a function's arguments or of an
+    ``M_OF_N``; AND and OR count in their frame, AND binding closer, so a run of
+    ANDs between ORs is one conjunction. A closed frame hands its depth on: each
+    kind of connective, a threshold and a NOT before brackets are a level.
+    ``terms`` are the leaves, a range as two. ``m`` and ``n`` are those of the
+    last threshold, 0 without one. ``dnf`` is whether the text is an OR of ANDs of
+    leaves and negated leaves. Quoted text is never looked into, and brackets
+    that do not match end what they can. Null stays null; the empty text has no terms.
+    """
+    frame = lambda kind, negated: F.struct(
+        kind.alias("kind"), negated.alias("negated"), *[F.lit(0).alias(n) for n in ("ors", "ands", "run", "longest", "depth")], F.lit(False).alias("inner_or"), F.lit(False).alias("inner"), F.lit(0).alias("commas")
+    )
+    zero = F.struct(
+        F.array(frame(F.lit("group"), F.lit(False))).alias("stack"), F.lit("").alias("last"), *[F.lit(0).alias(n) for n in ("or_fan_in", "and_fan_in", "depth")],
+        F.lit(1).alias("terms"), F.lit(0).alias("m"), F.lit(0).alias("n"), F.lit(True).alias("dnf"),
+    ).cast(_STATE)
+
+    def closed(s: Column) -> Column:
+        """The state after its top frame has ended, below which another one stands."""
+        top, under = F.element_at(s["stack"], -1), F.element_at(s["stack"], -2)
+        group, many = top["kind"] == "group", top["kind"] == "m_of_n"
+        own = F.when(group, (top["ors"] > 0).cast("int") + (top["ands"] > 0).cast("int")).when(many, 1).otherwise(0)
+        depth = top["depth"] + own + top["negated"].cast("int")
+        compound = top["inner"] | (group & (top["ors"] + top["ands"] > 0)) | many
+        has_or = top["inner_or"] | (group & (top["ors"] > 0)) | many
+        good = ~((top["ands"] > 0) & top["inner_or"]) & ~(top["negated"] & compound) & ~many
+        raised = under.withField("depth", F.greatest(under["depth"], depth)).withField("inner_or", under["inner_or"] | has_or).withField("inner", under["inner"] | compound)
+        rest = F.concat(F.slice(s["stack"], 1, F.size(s["stack"]) - 2), F.array(raised))
+        return tallied(s, top).withField("stack", rest).withField("dnf", s["dnf"] & good)
+
+    def tallied(s: Column, top: Column) -> Column:
+        group = top["kind"] == "group"
+        ands = F.greatest(top["longest"], top["run"])
+        s = s.withField("or_fan_in", F.greatest(s["or_fan_in"], F.when(group & (top["ors"] > 0), top["ors"] + 1).otherwise(0)))
+        return s.withField("and_fan_in", F.greatest(s["and_fan_in"], F.when(group & (ands > 0), ands + 1).otherwise(0)))
+
+    def step(s: Column, token: Column) -> Column:
+        word = F.when(token.startswith("'"), F.lit("'")).otherwise(F.upper(token))
+        top = F.element_at(s["stack"], -1)
+        put = lambda changed: s.withField("stack", F.concat(F.slice(s["stack"], 1, F.size(s["stack"]) - 1), F.array(changed)))
+        kind = F.when(s["last"] == "M_OF_N", "m_of_n").when(s["last"].rlike(r"^[\p{L}_]") & ~s["last"].isin("AND", "OR", "NOT"), "call").otherwise("group")
+        opened = s.withField("stack", F.concat(s["stack"], F.array(frame(kind, s["last"] == "NOT").cast(_FRAME))))
+        ored = put(top.withField("ors", top["ors"] + 1).withField("longest", F.greatest(top["longest"], top["run"])).withField("run", F.lit(0))).withField("terms", s["terms"] + 1)
+        anded = put(top.withField("ands", top["ands"] + 1).withField("run", top["run"] + 1)).withField("terms", s["terms"] + 1)
+        many = top["kind"] == "m_of_n"
+        number = F.coalesce(token.try_cast("int"), F.lit(0))
+        told = F.when(top["commas"] == 0, s.withField("m", number)).otherwise(s.withField("n", number).withField("terms", s["terms"] + F.greatest(number - 1, F.lit(0))))
+        after = (
+            F.when(word == "(", opened).when((word == ")") & (F.size(s["stack"]) > 1), closed(s)).when(word == "OR", ored).when(word == "AND", anded)
+            .when(word == ",", put(top.withField("commas", top["commas"] + 1))).when(many & (top["commas"] < 2) & token.rlike("^[0-9]"), told).otherwise(s)
+        )
+        return after.withField("last", word)
+
+    def finish(s: Column) -> Column:
+        top = F.element_at(s["stack"], -1)
+        t = tallied(s, top)
+        depth = top["depth"] + (top["ors"] > 0).cast("int") + (top["ands"] > 0).cast("int")
+        good = s["dnf"] & ~((top["ands"] > 0) & top["inner_or"])
+        terms = F.when(s["last"] == "", 0).otherwise(s["terms"])
+        return F.struct(t["or_fan_in"].alias("or_fan_in"), t["and_fan_in"].alias("and_fan_in"), depth.alias("depth"), terms.alias("terms"), s["m"].alias("m"), s["n"].alias("n"), good.alias("dnf"))
+
+    return F.aggregate(F.regexp_extract_all(_c(where), F.lit(TOKENS), F.lit(0)), zero, step, finish)

@@ -497,12 +497,17 @@ def ps_gen(spark: SparkSession, d: str) -> DataFrame:
     return kinds.join(hits, "sub", "left").groupBy("event_type").agg(F.count("*").alias("n_subs"), F.sum(F.coalesce("hits", F.lit(0))).alias("n_hits"))
 
 
-@query("SELECT p_type, max(p_size) AS widest, CAST(sum(p_size) AS BIGINT) AS clauses FROM part GROUP BY 1")
+@query("""SELECT p_partkey, CASE WHEN NOT many AND c > 1 THEN c ELSE 0 END AS or_fan_in, CASE WHEN t > 1 THEN t ELSE 0 END AS and_fan_in, (t > 1)::INT + (many OR c > 1)::INT + neg::INT AS depth,
+ c * t AS terms, CASE WHEN many THEN 2 ELSE 0 END AS m, CASE WHEN many THEN c ELSE 0 END AS n, NOT many AND NOT (neg AND (c > 1 OR t > 1)) AS dnf
+ FROM (SELECT p_partkey, CAST(p_size % 4 + 1 AS INTEGER) AS c, CAST(p_partkey % 3 + 1 AS INTEGER) AS t, p_size % 5 = 0 AS many, p_size % 7 = 0 AS neg FROM part)""")
 def fn_expr_shape(spark: SparkSession, d: str) -> DataFrame:
-    """Fan-in of the OR of sizes that each part type's subscription would have, from structured terms."""
-    terms = table(spark, d, "part").select(F.col("p_type").alias("sub"), F.col("p_partkey").alias("clause"), F.explode(F.sequence(F.lit(1), F.col("p_size"))).alias("term"))
-    shape = terms.groupBy("sub", "clause").agg(F.count("*").alias("terms")).groupBy("sub").agg(F.max("terms").cast("int").alias("widest"), F.sum("terms").alias("clauses"))
-    return shape.select(F.col("sub").alias("p_type"), "widest", "clauses")
+    """Shapes of the WHERE texts that parts stand for: ORs or thresholds of conjunctions, some negated, with brackets and words in quotes."""
+    c, t = F.col("p_size") % 4 + 1, (F.col("p_partkey") % 3 + 1).cast("int")
+    term = lambda j: F.concat(F.lit("upper(p_name) = 'A AND (B"), j.cast("string"), F.lit("'"))
+    clauses = F.transform(F.sequence(F.lit(1), c), lambda i: F.concat(F.lit("("), F.array_join(F.transform(F.sequence(F.lit(1), t), term), " AND "), F.lit(")")))
+    whole = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("M_OF_N(2, "), c.cast("string"), F.lit(", "), F.array_join(clauses, ", "), F.lit(")"))).otherwise(F.array_join(clauses, " OR "))
+    text = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("NOT ("), whole, F.lit(")"))).otherwise(whole)
+    return table(spark, d, "part").select("p_partkey", text.alias("w")).select("p_partkey", P.text_shape("w").alias("s")).select("p_partkey", "s.*")
 
 
 @query()

@@ -140,3 +140,43 @@ def test_reordering_can_be_told_its_first_term(spark):
     combos = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 3, False)], "cid long, qid long, first boolean")
     assert [r.qid for r in workload.reorder(combos, hits, "first").orderBy("pos").collect()] == [2, 1, 3]
     assert [r.qid for r in workload.reorder(combos.drop("first"), hits).orderBy("pos").collect()] == [1, 3, 2]
+
+
+def test_shape_of_texts_equals_that_of_the_structure(spark):
+    from sextant.functions import predicates as P
+
+    pick = random.Random(8)
+
+    def made(level: int) -> P.Predicate:
+        kind = pick.choice(["eq", "word", "starts"] if level == 0 else ["and", "or", "mofn", "not", "eq"])
+        if kind in ("and", "or", "mofn"):
+            terms = tuple(made(level - 1) for _ in range(pick.randint(2, 4)))
+            return P.Predicate(kind, m=pick.randint(1, len(terms)), terms=terms)
+        if kind == "not":
+            return P.Predicate("not", terms=(made(level - 1),))
+        return P.Predicate(kind, "f", pick.choice(["x", "it's (odd", "a AND b", "100%, or not"]))
+
+    def leaves(p: P.Predicate) -> int:
+        return sum(map(leaves, p.terms)) if p.terms else 1
+
+    def dnf(p: P.Predicate, under: str = "") -> bool:
+        """An OR of ANDs of leaves; ORs within ORs and ANDs within ANDs count as one."""
+        if not p.terms:
+            return True
+        if p.kind == "not":
+            return not p.terms[0].terms or (p.terms[0].kind == "not" and dnf(p.terms[0]))
+        if p.kind == "mofn":
+            return False
+        if p.kind == "or" and under == "and":
+            return False
+        return all(dnf(t, "and" if "and" in (p.kind, under) else "or") for t in p.terms)
+
+    trees = [made(pick.randint(0, 3)) for _ in range(120)]
+    rows = spark.createDataFrame([(i, p.text()) for i, p in enumerate(trees)], "i int, w string")
+    for r in rows.select("i", "w", P.text_shape("w").alias("s")).collect():
+        p, s = trees[r.i], r.s
+        want = P.shape(p)
+        assert (s.or_fan_in, s.and_fan_in, s.depth, s.terms) == (want["or_fan_in"], want["and_fan_in"], want["depth"], leaves(p)), r.w
+        assert s.dnf == dnf(p), r.w
+        if r.w.count("M_OF_N") == 1:
+            assert (s.m, s.n) == (want["m"], want["n"])
