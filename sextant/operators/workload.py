@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -151,26 +151,32 @@ def cost(queries: DataFrame) -> DataFrame:
 
 
 def pack(queries: DataFrame, by: Sequence[str], limit: float) -> DataFrame:
-    """(by..., qid, batch): batches of at most ``limit`` seconds in order of (band, qid), a new one where the band changes.
+    """(by..., band, qid, batch): batches of at most ``limit`` seconds in order of qid, a new count in each band.
 
     A batch starts where the last one is full, which depends on all before it in
-    its band, so a band (a category's queries of one size, a bounded workload) is a group.
+    its band; so a band's rows stream through a task in order, and only the
+    running total and the batch's number are held.
     """
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("qid").to_pylist(), group.column("seconds").to_pylist(), strict=True))
-        batch, total, out = 0, 0.0, []
-        for q, s in rows:
-            if out and total + s > limit:
-                batch, total = batch + 1, 0.0
-            total += s
-            out.append((q, batch))
-        fixed = {c: pa.array([group.column(c)[0].as_py()] * len(out), group.schema.field(c).type) for c in (*by, "band")}
-        return pa.table(fixed | {"qid": pa.array([q for q, _ in out], pa.int64()), "batch": pa.array([b for _, b in out], pa.int32())})
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, "band")) + ", qid long, batch int"
-    return queries.select(*by, "band", F.col("qid").cast("long").alias("qid"), F.col("seconds").cast("double").alias("seconds")).groupBy(*by, "band").applyInArrow(run, schema)
+    keys = [*by, "band"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, total, first = None, 0, 0.0, True
+        for rows in batches:
+            out = []
+            columns = [rows.column(i).to_pylist() for i in range(len(keys) + 2)]
+            for *group, _, seconds in zip(*columns, strict=True):
+                if group != key:
+                    key, number, total, first = group, 0, 0.0, True
+                if not first and total + seconds > limit:
+                    number, total = number + 1, 0.0
+                total, first = total + seconds, False
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys) + 1], pa.array(out, pa.int32())], names=[*keys, "qid", "batch"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", qid long, batch int"
+    rows = queries.select(*keys, F.col("qid").cast("long").alias("qid"), F.col("seconds").cast("double").alias("seconds"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "qid", "seconds").mapInArrow(run, schema)
 
 
 def effect(rows: DataFrame, changes: DataFrame, queries: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -151,7 +151,9 @@ def wl_cost(spark: SparkSession, d: str) -> DataFrame:
     return W.cost(perf.nearest_timing(q, timings, ["system"], "size")).select("q", "seconds")
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT p_type AS category, p_size % 3 AS band, p_partkey AS qid, p_size / 10 AS seconds, row_number() OVER (PARTITION BY p_type, p_size % 3 ORDER BY p_partkey) AS i FROM part),
+ r AS (SELECT category, band, qid, i, seconds AS total, 0 AS batch FROM q WHERE i = 1 UNION ALL SELECT q.category, q.band, q.qid, q.i, CASE WHEN total + seconds > 20 THEN seconds ELSE total + seconds END, batch + (total + seconds > 20)::INT
+ FROM r JOIN q ON q.category = r.category AND q.band = r.band AND q.i = r.i + 1) SELECT category, band, qid, batch FROM r""")
 def wl_pack(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "part").select(F.col("p_partkey").alias("qid"), F.col("p_type").alias("category"), (F.col("p_size") % 3).alias("band"), (F.col("p_size") / 10).alias("seconds"))
     return W.pack(q, ["category"], 20.0)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.functions import predicates as P
 from sextant.operators import logs, user
 from sextant.operators import workload as W
 from sextant.streaming import pubsub
@@ -151,3 +152,12 @@ class Largest(user.Aggregator):
 @query("SELECT event_type, count(value) AS n, list_slice(list_sort(list(value), 'DESC', 'NULLS LAST'), 1, 3) AS largest FROM events GROUP BY 1")
 def u_3(spark: SparkSession, d: str) -> DataFrame:
     return user.aggregate(table(spark, d, "events"), ["event_type"], ["value"], Largest(3))
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F')::INT + (o_orderpriority = '1-URGENT')::INT + (o_totalprice >= 200000)::INT AS score FROM orders WHERE (o_orderstatus = 'F')::INT + (o_orderpriority = '1-URGENT')::INT + (o_totalprice >= 200000)::INT >= 2")
+def u_1(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold as a function in SQL text."""
+    P.register(spark)
+    table(spark, d, "orders").createOrReplaceTempView("sextant_u_1")
+    score = "m_of_n(2, array(o_orderstatus = 'F', o_orderpriority = '1-URGENT', o_totalprice >= 200000))"
+    return spark.sql(f"SELECT o_orderkey, {score} AS score FROM sextant_u_1 WHERE {score} >= 2")
