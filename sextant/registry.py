@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with QUERIES and SQL.
-MODULES = ("plans.search", "plans.analysis", "plans.assessment", "plans.candidates", "plans.harness")
+MODULES = ("plans.search", "plans.analysis", "plans.assessment", "plans.candidates", "plans.harness", "plans.sources")
 
 
 def _all(name: str) -> dict:

@@ -211,6 +211,94 @@ def test_record_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in spark.read.format("linerecords").option("fields", "id string, t string").option("paths", str(one)).load().collect()] == [("5", "x\ny")]
 
 
+def _split_reads(spark, tmp_path, texts, sizes, schema):
+    """Rows that read_records finds for each size of splits."""
+    folder = tmp_path / "split"
+    folder.mkdir(exist_ok=True)
+    for i, t in enumerate(texts):
+        (folder / f"f{i}").write_text(t, newline="")
+    key, out = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    try:
+        for size in sizes:
+            spark.conf.set(key, str(size))
+            out.append(sorted(tuple(r) for r in files.read_records(spark, str(folder), schema).collect()))
+    finally:
+        spark.conf.set(key, before)
+    return out
+
+
+def test_record_files_are_equal_in_splits_of_any_size(spark, tmp_path):
+    """Texts that hold records of their own, pieces of records, long lines, carriage returns and other writings."""
+    rng = random.Random(5)
+    inner = "".join(files.format_record([str(k), "z"]) for k in range(6))
+    texts, want = [], []
+    for f in range(2):
+        rows = []
+        for i in range(16):
+            value = rng.choice(["plain", "", "two\nlines", "RAW", inner, inner[rng.randrange(40) : -rng.randrange(1, 40)], "\nINSERT\n1\n", "INSERT\nENDRAW\nENDINSERT", "\r\nx\r", "é日本\n" * 9, "w" * 300, "\n" * 7])
+            rows.append((f * 100 + i, value))
+        want += rows
+        texts.append("".join(files.format_record([str(k), v]) for k, v in rows))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("t", T.StringType())])
+    for got in _split_reads(spark, tmp_path, texts, [90, 700, 1 << 20], schema):
+        assert got == sorted(want)
+
+
+def test_splits_within_records_of_a_text(spark, tmp_path):
+    """Splits that lie in a text of records alone take these for the file's, and give them up again."""
+    inner = "".join(files.format_record([str(k), "z"]) for k in range(150))
+    rows = [("1", "a"), ("2", inner), ("3", "b")]
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("t", T.StringType())])
+    for got in _split_reads(spark, tmp_path, ["".join(map(files.format_record, rows)), files.format_record(["9", "c"])], [300, 1500], schema):
+        assert got == sorted([*rows, ("9", "c")])
+
+
+def test_wrong_record_files_are_told(spark, tmp_path):
+    good = "".join(files.format_record([str(k), "x"]) for k in range(50))
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("t", T.StringType())])
+    for i, bad in enumerate(("INSERT\n1\nENDINSERT\n", "UPDATE\n", "INSERT\n1\nRAW\n900\nx\n", "INSERT\n1\n")):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        for size in (300, 1 << 20):
+            with pytest.raises(ValueError, match="record"):
+                _split_reads(spark, folder, [good + bad], [size], schema)
+
+
+def test_record_sink_commits_whole_jobs(spark, tmp_path):
+    spark.dataSource.register(files.LineRecords)
+    path = tmp_path / "sink"
+    rows = spark.range(25).repartition(3).select(F.col("id").cast("string"), F.concat(F.lit("a\n"), "id").alias("t"))
+    write = lambda df, mode: df.write.format("linerecords").option("path", str(path)).option("rowsPerFile", "4").mode(mode).save()
+    read = lambda: sorted(tuple(r) for r in spark.read.format("linerecords").option("fields", "id string, t string").option("paths", str(path)).load().collect())
+    write(rows, "append")
+    want = sorted((str(i), f"a\n{i}") for i in range(25))
+    assert read() == want and max(p.read_text().count("ENDINSERT") for p in path.iterdir()) == 4
+    broken = rows.select("id", F.when(F.col("id") == "20", F.raise_error(F.lit("lost"))).otherwise(F.col("t")).alias("t"))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, mode)
+        assert read() == want and not [p for p in path.iterdir() if p.is_dir()]
+    write(rows, "append")
+    assert read() == sorted(want * 2)
+    write(rows.where("id = '3'"), "overwrite")
+    assert read() == [("3", "a\n3")]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = ["", "a", "b\r", *(f"line {i}" for i in range(500)), "é", ""]
+    (tmp_path / "l").write_text("\n".join([*lines, ""]), newline="")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("50", "1000", "1m"):
+            spark.conf.set(key, size)
+            got = [(r.line, r.value) for r in files.numbered_lines(spark, str(tmp_path / "l")).orderBy("line").collect()]
+            assert got == [(i, v.removesuffix("\r")) for i, v in enumerate(lines, 1)]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_schema_file(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text("name,type,table,length,index\nid,BIGINT UNSIGNED,base:notes,,\nname,CHAR(9),base,,\nnotes1,TEXT,notes,10000,\nhash,CHAR(32),row_hashes,,\n")
