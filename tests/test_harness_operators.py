@@ -108,3 +108,38 @@ def test_answers_to_commands_batch_and_stream(spark, tmp_path):
     q.awaitTermination()
     stream = {(r.cmd, r.latency) for r in spark.read.parquet(str(tmp_path / "out")).collect()} - {(1000, 1.0)}
     assert stream == batch
+
+
+def test_changing_subscriptions_on_streams_are_the_batch(spark, tmp_path):
+    """Both inputs come shuffled within the delay, with repeated subscribes, ties, and rows without ids."""
+    import random
+
+    rng = random.Random(3)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    changes = [(sub, at(t), rng.random() < 0.6) for sub in range(6) for t in sorted(rng.sample(range(600), 12))] + [(None, at(5), True)]
+    sent = [(p, rng.randrange(8), at(rng.randrange(600))) for p in range(900)] + [(5000, None, at(6))]
+    kinds = {"c": "sub long, at timestamp, active boolean", "d": "pub long, sub long, at timestamp"}
+    batch = spark.createDataFrame(sent, kinds["d"])
+    spans = pubsub.validity(spark.createDataFrame(changes, kinds["c"]).where("sub is not null"))
+    pubs = batch.select(batch["pub"].alias("k"), "at")
+    want = sorted(tuple(r) for r in pubsub.active_only(batch.select("pub", "sub"), pubs, spans, "k", "at").collect())
+    assert 100 < len(want) < 800
+    for name, rows, time in (("c", changes, 1), ("d", sent, 2)):
+        for k in range(5):
+            part = [r for r in rows if k * 120 <= (r[time] - at(0)).total_seconds() + 59 * (hash(r[:1]) % 2) < (k + 1) * 120 or (k == 4 and (r[time] - at(0)).total_seconds() + 59 * (hash(r[:1]) % 2) >= 600)]
+            rng.shuffle(part)
+            spark.createDataFrame(part, kinds[name]).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        for far in (2000, 3000):
+            end = [(99, at(far), True)] if name == "c" else [(9999, 98, at(far))]
+            spark.createDataFrame(end, kinds[name]).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name: spark.readStream.schema(kinds[name]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = pubsub.active_stream(read("d"), read("c"), "at", "2 minutes", 2)
+        q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert q.awaitTermination(120)
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
