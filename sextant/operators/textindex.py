@@ -115,7 +115,7 @@ def near(rows: DataFrame, index: DataFrame, key: str, field: str, first: str, se
     """Rows whose two alarm words stand at a distance that meets ``condition``, nearest first."""
     low, high = sorted([first.upper(), second.upper()])
     hit = index.where((F.col("field") == field) & (F.col("word1") == low) & (F.col("word2") == high) & condition(F.col("distance")))
-    return rows.join(hit.select(key, "distance"), key)
+    return rows.join(hit.select(key, "distance"), key).orderBy("distance", key)
 
 
 def search(rows: DataFrame, index: DataFrame, key: str, column: str, word: str, name: str = "word") -> DataFrame:

@@ -416,6 +416,17 @@ def conditional_counts(rows: DataFrame, given: Sequence[str], value: str, state:
     return rows.groupBy(*given, value).agg(F.count("*").alias("weight"))
 
 
+def zip_codes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(state, zip, weight) and (zip, city, weight) of CSV files with columns ``zip code``, ``state`` and ``city``."""
+    rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True).select(F.col("zip code").alias("zip"), "state", "city")
+    return conditional_counts(rows, ["state"], "zip", "state"), conditional_counts(rows, ["zip"], "city")
+
+
+def streets(spark: SparkSession, path: str) -> DataFrame:
+    """(zip, street, weight) of CSV files with columns ``zip`` and ``fullname``."""
+    return conditional_counts(spark.read.csv(path, header=True).select("zip", F.col("fullname").alias("street")), ["zip"], "street")
+
+
 # -- resource metrics -----------------------------------------------------------------------------------
 
 
@@ -445,11 +456,25 @@ def tcpdump(lines: DataFrame) -> DataFrame:
     return rows.select("file", F.regexp_extract("value", r"^([\d.:]+)", 1).alias("time"), F.regexp_extract("value", r"length (\d+)", 1).try_cast("long").alias("length"), F.regexp_extract("_next", ends, 1).alias("source"), F.regexp_extract("_next", ends, 2).alias("target"))
 
 
+#: Names that test-run files use for a key.
+RUN_KEYS = {"test_script": "testname", "disjunction_ratio": "disjunction_prob", "match_rate": "unique_matches", "publication_timeout": "pub_wait"}
+
+
 def test_runs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A row for each run (file) with the values of ``key = value`` lines; different values join by ``?``."""
+    """A row for each run (file) with the values of ``key = value`` lines; different values join by ``?``.
+
+    Keys may go by the names of ``RUN_KEYS``. A value ``~v`` gives way to one
+    whose second word is v, and values of keys with ``prob`` are equal as numbers.
+    """
     pattern = r"^\s*([A-Za-z_][\w ]*?)\s*[=:]\s*(.*?)\s*$"
+    names = F.create_map(*[F.lit(x) for pair in RUN_KEYS.items() for x in pair])
     rows = lines.select("file", F.lower(F.regexp_extract("value", pattern, 1)).alias("key"), F.regexp_extract("value", pattern, 2).alias("v")).where("key <> ''")
-    return rows.groupBy("file").pivot("key", list(keys)).agg(F.array_join(F.array_sort(F.collect_set("v")), "?"))
+    rows = rows.withColumn("key", F.coalesce(F.element_at(names, F.col("key")), F.col("key")))
+    number = F.when(F.col("key").contains("prob"), F.col("v").try_cast("double"))
+    values = rows.groupBy("file", "key", F.coalesce(number.cast("string"), F.col("v")).alias("_as")).agg(F.min("v").alias("v"))
+    every = values.groupBy("file", "key").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    kept = F.filter("vs", lambda a: ~(a.startswith("~") & F.exists("vs", lambda b: F.get(F.split(b, r"\s+"), F.lit(1)) == F.substr(a, F.lit(2)))))
+    return every.select("file", "key", F.array_join(kept, "?").alias("v")).groupBy("file").pivot("key", list(keys)).agg(F.first("v"))
 
 
 # -- tables ------------------------------------------------------------------------------------------------

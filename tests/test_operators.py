@@ -445,3 +445,51 @@ def test_running_sums_over_many_ranges(spark):
     ranks = {r.g: (r.n, r["all"]) for r in counted.collect()}
     found = percentiles(rows, "k", ["g"]).collect()
     assert len(found) == 300 and all(r.value == ranks[r.g][1][(r.p * ranks[r.g][0] + 99) // 100 - 1] for r in found)
+
+
+def test_quantile_and_session_streams(spark, tmp_path):
+    at = [dt.datetime(2024, 1, 1, h, m) for h, m in ((0, 0), (0, 30), (1, 10), (5, 0), (5, 20), (9, 0))]
+    rows = frame(spark, [(1, t, float(i)) for i, t in enumerate(at)], "u int, ts timestamp, v double")
+    got = run_stream(spark, rows, tmp_path, lambda s: series.quantiles(s, "ts", "6 hours", "v", [0.0, 1.0]), "complete")
+    assert {(r.n, tuple(r.quantiles)) for r in got} == {(5, (0.0, 4.0)), (1, (5.0, 5.0))}
+
+
+def test_deliveries_once_on_a_stream(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = frame(spark, [(1, 1, at(0)), (1, 1, at(1)), (1, 2, at(2)), (2, 1, at(3)), (2, 1, at(9))], "pub long, sub long, at timestamp")
+    got = run_stream(spark, rows, tmp_path, lambda s: pubsub.once(s, "at", "1 minute"))
+    assert Counter((r.pub, r.sub) for r in got) == {(1, 1): 1, (1, 2): 1, (2, 1): 1}
+
+
+def test_random_trees(spark):
+    import xml.etree.ElementTree as ET
+
+    from harness import DATA
+
+    from sextant import registry
+
+    made = registry.queries()["dg_xml_tree"](spark, DATA).collect()
+    tops = Counter()
+    for r in made:
+        root = ET.fromstring(r.xml)
+        assert root.tag == "xml" and [len(root), *{len(a) for a in root}, *{len(b) for a in root for b in a}] == [5, 5, 5]
+        assert all(len({leaf.tag for leaf in b}) == 5 for a in root for b in a) and all(b.tag[0] == "b" for a in root for b in a)
+        tops.update(a.tag for a in root)
+    n, weights = sum(tops.values()), synth.tag_weights()
+    assert len(made) == len({r.c_custkey for r in made}) and weights == [1, 5, 10, 10, 50, 100, 100]
+    assert all(abs(tops[f"a{i}"] / n - w / sum(weights)) < 0.1 for i, w in enumerate(weights))
+
+
+def test_zip_and_street_files(spark, tmp_path):
+    (tmp_path / "z.csv").write_text("zip code, state, city\n10001, New York, New York\n10001, New York, Harlem\n02134, Maine, Allston\n")
+    (tmp_path / "s.csv").write_text("zip,fullname\n10001,Main St\n10001,Main St\n02134,High St\n")
+    by_state, by_zip = files.zip_codes(spark, str(tmp_path / "z.csv"))
+    assert {tuple(r) for r in by_state.collect()} == {("New_York", "10001", 2), ("Maine", "02134", 1)}
+    assert {tuple(r) for r in by_zip.collect()} == {("10001", "New York", 1), ("10001", "Harlem", 1), ("02134", "Allston", 1)}
+    assert {tuple(r) for r in files.streets(spark, str(tmp_path / "s.csv")).collect()} == {("10001", "Main St", 2), ("02134", "High St", 1)}
+
+
+def test_keys_of_test_runs(spark):
+    rows = [("f", 1, "match_rate = ~5"), ("f", 2, "unique_matches: exactly 5 rows"), ("f", 3, "disjunction_ratio=0.50"), ("f", 4, "disjunction_prob=0.5"), ("f", 5, "pub_wait=1"), ("f", 6, "publication_timeout=2"), ("g", 1, "test_script = t")]
+    got = {r.file: tuple(r)[1:] for r in files.test_runs(frame(spark, rows, "file string, line long, value string"), ["unique_matches", "disjunction_prob", "pub_wait", "testname"]).collect()}
+    assert got == {"f": ("exactly 5 rows", "0.5", "1?2", None), "g": (None, None, None, "t")}
