@@ -18,6 +18,8 @@ from operator import and_, or_
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .scalars import upper, upper_text
+
 Value = str | int | float | date | datetime | None
 
 
@@ -64,15 +66,15 @@ def where(function: Callable[..., Column], *fields: str) -> Column:
     return function(*map(F.col, fields))
 
 
-def words(c: str | Column) -> Column:
-    """The distinct upper-case words of a text, without spaces and punctuation."""
-    return F.array_distinct(F.filter(F.split(F.upper(_c(c)), r"[^\p{L}\p{N}']+"), lambda w: w != ""))
+def words(c: str | Column, shown: Callable[[Column], Column] = upper) -> Column:
+    """The distinct words of a text in upper case, as ``shown`` makes it, without spaces and punctuation."""
+    return F.array_distinct(F.filter(F.split(shown(_c(c)), r"[^\p{L}\p{N}']+"), lambda w: w != ""))
 
 
 def contains_word(c: str | Column, word: str, match_case: bool = False) -> Column:
     if match_case:
         return F.array_contains(F.split(_c(c), r"[^\p{L}\p{N}']+"), word)
-    return F.array_contains(words(c), word.upper())
+    return F.array_contains(words(c), upper_text(word))
 
 
 def _quoted(text: str) -> str:

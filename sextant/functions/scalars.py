@@ -13,11 +13,33 @@ TRUES = ("true", "True", "TRUE", "1", "t", "T", "yes", "Yes")
 FALSES = ("false", "False", "FALSE", "0", "f", "F", "no", "No")
 #: Bytes of storage types, by name.
 WIDTHS = {"TINYINT": 1, "SMALLINT": 2, "INT": 4, "BIGINT": 8, "DATE": 3, "ENUM": 2}
+#: Letters that ``F.upper`` writes as several characters, and the one that each is in upper case by itself.
+WIDE = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+
+
+def upper(text: Column) -> Column:
+    """Upper case of each character by itself, so that places and lengths stay: ``ß`` becomes ``ẞ``, ``ﬁ`` stays."""
+    text = F.replace(text, F.lit("ß"), F.lit("ẞ"))
+    wide = "".join(c for c in WIDE if c != "ß")
+    parts = F.split(text, f"(?<=[{wide}])|(?=[{wide}])")
+    each = F.transform(parts, lambda p: F.when(p.rlike(f"[{wide}]"), F.translate(p, wide, "".join(WIDE[c] for c in wide))).otherwise(F.upper(p)))
+    # only a text with such a letter grows
+    return F.when(F.length(F.upper(text)) > F.length(text), F.array_join(each, "")).otherwise(F.upper(text))
+
+
+def upper_text(text: str) -> str:
+    """The same for a value of the driver's."""
+    return "".join(WIDE.get(c) or c.upper() for c in text)
+
+
+def lower(text: Column) -> Column:
+    """Lower case of each character by itself: a sigma is the same at a word's end, a dotted capital i is one letter."""
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
 def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     """Distinct lower-case tokens, split at spaces and ``. , ! ? - ; "``, without stop words."""
-    found = F.array_distinct(F.filter(F.split(F.lower(text), r'[ .,!?;"-]+'), lambda w: w != ""))
+    found = F.array_distinct(F.filter(F.split(lower(text), r'[ .,!?;"-]+'), lambda w: w != ""))
     return F.array_except(found, F.array(*map(F.lit, stop_words))) if stop_words else found
 
 
@@ -26,8 +48,8 @@ def proximity(text: Column, first: str, second: str) -> Column:
 
     The distance of their beginnings less the length of the earlier word.
     """
-    padded = F.upper(text)
-    a, b = F.locate(f" {first.upper()} ", padded), F.locate(f" {second.upper()} ", padded)
+    padded = upper(text)
+    a, b = F.locate(f" {upper_text(first)} ", padded), F.locate(f" {upper_text(second)} ", padded)
     gap = F.when(a < b, b - a - len(first)).otherwise(a - b - len(second))
     return F.when((a > 0) & (b > 0), gap)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.predicates import words
-from sextant.functions.scalars import micros
+from sextant.functions.scalars import micros, upper
 from sextant.scratch import fresh, written
 
 
@@ -56,9 +56,9 @@ def cumulative(
     return marked.withColumn(name, F.sum(w).over(within)).join(totals, same).withColumn(name, F.col(before) + F.col(name)).drop(part, before, *names.values())
 
 
-def word_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows that contain each upper-case word."""
-    return rows.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n_rows"))
+def word_counts(rows: DataFrame, key: str, text: str, shown: Callable[[Column], Column] = upper) -> DataFrame:
+    """Rows that contain each word in upper case, as ``shown`` makes it (``F.upper`` writes ``SS`` for ``ß``)."""
+    return rows.select(F.explode(words(text, shown)).alias("word")).groupBy("word").agg(F.count("*").alias("n_rows"))
 
 
 def capped_ids(matches: DataFrame, cap: int, query: str = "qid", key: str = "id") -> DataFrame:

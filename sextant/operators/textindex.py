@@ -100,8 +100,8 @@ def _short(word: str) -> bool:
 
 def alarms(rows: DataFrame, key: str, columns: Sequence[str], alarm_words: Sequence[str]) -> DataFrame:
     """(key, word1, word2, field, distance) where exactly two alarm words stand in a text, each between spaces."""
-    upper = sorted({w.upper() for w in alarm_words})
-    listed = F.array(*[F.struct(F.lit(c).alias("field"), F.upper(F.col(c)).alias("text")) for c in columns])
+    upper = sorted({scalars.upper_text(w) for w in alarm_words})
+    listed = F.array(*[F.struct(F.lit(c).alias("field"), scalars.upper(F.col(c)).alias("text")) for c in columns])
     cells = rows.select(key, F.explode(listed).alias("cell")).select(key, "cell.field", "cell.text")
     places = F.filter(F.array(*[F.struct(F.locate(f" {w} ", F.col("text")).alias("at"), F.lit(w).alias("word")) for w in upper]), lambda s: s["at"] > 0)
     found = cells.select(key, "field", F.array_sort(places).alias("s")).where(F.size("s") == 2)
@@ -113,7 +113,7 @@ def alarms(rows: DataFrame, key: str, columns: Sequence[str], alarm_words: Seque
 
 def near(rows: DataFrame, index: DataFrame, key: str, field: str, first: str, second: str, condition: Callable[[Column], Column]) -> DataFrame:
     """Rows whose two alarm words stand at a distance that meets ``condition``, nearest first."""
-    low, high = sorted([first.upper(), second.upper()])
+    low, high = sorted([scalars.upper_text(first), scalars.upper_text(second)])
     hit = index.where((F.col("field") == field) & (F.col("word1") == low) & (F.col("word2") == high) & condition(F.col("distance")))
     return rows.join(hit.select(key, "distance"), key).orderBy("distance", key)
 

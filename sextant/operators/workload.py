@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.predicates import words
+from sextant.functions.scalars import upper
 
 from .aggregates import cumulative
 
@@ -27,7 +28,7 @@ def evaluate_equal(rows: DataFrame, queries: DataFrame, key: str, fields: Sequen
 def evaluate_words(rows: DataFrame, queries: DataFrame, key: str, column: str) -> DataFrame:
     """(qid, id) for all keyword queries (qid, value) at once, by a join on the words."""
     index = rows.select(F.col(key).alias("id"), F.explode(words(column)).alias("word"))
-    return index.join(queries.select("qid", F.upper("value").alias("word")), "word").select("qid", "id")
+    return index.join(queries.select("qid", upper(F.col("value")).alias("word")), "word").select("qid", "id")
 
 
 def evaluate_ranges(rows: DataFrame, queries: DataFrame, key: str, field: str, width: float) -> DataFrame:

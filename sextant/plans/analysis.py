@@ -48,7 +48,7 @@ def a_rngcnt(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT word, count(*) AS n_rows FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(replace(upper(text), 'ẞ', 'SS'), '[^\p{L}\p{N}'']+')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
 def a_kwcnt(spark: SparkSession, d: str) -> DataFrame:
-    return A.word_counts(table(spark, d, "documents"), "doc_id", "text")
+    return A.word_counts(table(spark, d, "documents"), "doc_id", "text", F.upper)
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders WHERE upper(o_orderpriority) = '1-URGENT'")
