@@ -95,10 +95,13 @@ def unions(matches: DataFrame, terms: DataFrame, low: int, high: int) -> DataFra
 def thresholds(combos: DataFrame, matches: DataFrame) -> DataFrame:
     """(cid, matched, n): for each combination how many rows meet exactly so many of its terms, at least ``m``.
 
-    ``combos``: cid, m, qid, one row a term.
+    ``combos``: cid, m, qid, one row a term. Rows that meet the same terms are
+    counted first, so a few terms that most rows meet are not joined row by row.
     """
-    met = combos.join(matches, "qid").groupBy("cid", "id").agg(F.count("*").alias("matched"), F.min("m").alias("m"))
-    return met.where(F.col("matched") >= F.col("m")).groupBy("cid", "matched").agg(F.count("*").alias("n"))
+    patterns = matches.groupBy("id").agg(F.sort_array(F.collect_list("qid")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("rows"))
+    terms = patterns.select("pattern", "rows", F.explode("pattern").alias("qid"))
+    met = combos.join(terms, "qid").groupBy("cid", "pattern", "rows").agg(F.count("*").alias("matched"), F.min("m").alias("m"))
+    return met.where(F.col("matched") >= F.col("m")).groupBy("cid", "matched").agg(F.sum("rows").alias("n"))
 
 
 def reorder(combos: DataFrame, matches: DataFrame, first: str | None = None) -> DataFrame:
