@@ -63,10 +63,8 @@ def _named(column: str, pattern: str, k: int = 1) -> Column:
 
 
 def _clean(lines: DataFrame) -> DataFrame:
-    """Lines without blanks at the ends, empty ones left out, and nothing after the log's end."""
-    rows = stamped(lines.withColumn("value", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).where("value <> ''"))
-    ends = rows.where(F.col("rest").startswith("END_OF_LOG")).groupBy("file").agg(F.min("line").alias("_end"))
-    return rows.join(ends, "file", "left").where("_end is null or line < _end").drop("_end")
+    """Lines without blanks at the ends, empty ones left out."""
+    return stamped(lines.withColumn("value", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).where("value <> ''"))
 
 
 def commands(lines: DataFrame, parts: int | None = None) -> DataFrame:
@@ -89,7 +87,9 @@ def commands(lines: DataFrame, parts: int | None = None) -> DataFrame:
     opened = F.when(F.col("k") == "results", F.col("own")).when(F.col("k").isNotNull() & (F.col("k") != "event"), F.lit(""))
     failing = F.when(F.col("k").isNull() & F.col("value").startswith("FAILED"), True).when((F.col("value") == "ENDFAILED") | (F.col("k").isNotNull() & (F.col("k") != "event")), False)
     case = F.when(F.col("k") == "case", F.struct(F.regexp_extract("rest", TEST_CASE, 1).alias("performer"), F.regexp_extract("rest", TEST_CASE, 2).alias("test_case")))
-    rows = carry(rows, {"opened": opened, "failing": failing, "case": case}, parts)
+    # nothing counts after the log's end, which is carried too: a join on the file would bring each file into one task
+    ended = F.when(rest.startswith("END_OF_LOG"), True)
+    rows = carry(rows, {"opened": opened, "failing": failing, "case": case, "ended": ended}, parts).where("ended is null").drop("ended")
     inside = F.col("opened").isNotNull() & (F.col("opened") != "")
     bare = (
         F.when(~inside, "stray").when(F.col("value") == "ENDFAILED", "endfailed").when(F.col("value").startswith("FAILED"), "failed")
