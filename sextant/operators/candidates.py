@@ -109,7 +109,8 @@ def xml_candidates(index: DataFrame, column: str, low: int, high: int, key: str
     """
     shown = F.upper("value")
     asked = F.array(F.struct(F.lit("eq-full").alias("sub_category"), F.col("path").alias("xpath")), F.struct(F.lit("eq-double-slash").alias("sub_category"), F.concat(F.lit("//"), "tag").alias("xpath")))
-    met = index.select(key, shown.alias("v"), F.explode(asked).alias("a")).select(key, "v", "a.*").distinct()
+    # a row's entries meet in one task before they are told apart, so no task holds those of all it has read
+    met = index.select(key, "path", "tag", "value").repartition(key).select(key, shown.alias("v"), F.explode(asked).alias("a")).select(key, "v", "a.*").distinct()
     found = met.groupBy("sub_category", "xpath", "v").agg(F.count("*").alias("n")).where(F.col("n").between(low, high))
     literal = F.when(F.col("v").rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.col("v")).otherwise(quoted(F.col("v")))
     text = F.concat(F.lit(f"xml_value({column}, "), quoted(F.col("xpath")), F.lit(", "), literal, F.lit(")"))
