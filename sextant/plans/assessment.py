@@ -515,12 +515,13 @@ def ps_gen(spark: SparkSession, d: str) -> DataFrame:
  FROM (SELECT p_partkey, CAST(p_size % 4 + 1 AS INTEGER) AS c, CAST(p_partkey % 3 + 1 AS INTEGER) AS t, p_size % 5 = 0 AS many, p_size % 7 = 0 AS neg FROM part)""")
 def fn_expr_shape(spark: SparkSession, d: str) -> DataFrame:
     """Shapes of the WHERE texts that parts stand for: ORs or thresholds of conjunctions, some negated, with brackets and words in quotes."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fold takes about a millisecond, so few bytes are much work
     c, t = F.col("p_size") % 4 + 1, (F.col("p_partkey") % 3 + 1).cast("int")
     term = lambda j: F.concat(F.lit("upper(p_name) = 'A AND (B"), j.cast("string"), F.lit("'"))
     clauses = F.transform(F.sequence(F.lit(1), c), lambda i: F.concat(F.lit("("), F.array_join(F.transform(F.sequence(F.lit(1), t), term), " AND "), F.lit(")")))
     whole = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("M_OF_N(2, "), c.cast("string"), F.lit(", "), F.array_join(clauses, ", "), F.lit(")"))).otherwise(F.array_join(clauses, " OR "))
     text = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("NOT ("), whole, F.lit(")"))).otherwise(whole)
-    return table(spark, d, "part").select("p_partkey", text.alias("w")).select("p_partkey", P.text_shape("w").alias("s")).select("p_partkey", "s.*")
+    return table(spark, d, "part").select("p_partkey", text.alias("w")).repartition(parts, "p_partkey").select("p_partkey", P.text_shape("w").alias("s")).select("p_partkey", "s.*")
 
 
 @query()

@@ -3,8 +3,10 @@
 import itertools
 import re
 
+from harness import DATA
 from pyspark.sql import functions as F
 
+from sextant import registry
 from sextant.operators import candidates, logs, workload
 from sextant.streaming import pubsub
 
@@ -46,3 +48,8 @@ def test_deliveries_of_a_shared_body_are_told_apart_without_a_shuffle(spark, mon
     spans = spark.createDataFrame([(s, 10 * s, None if s % 2 else 100) for s in range(7)], "sub long, start long, end long")
     active = pubsub.match(pubs.withColumn("t", F.col("k")), spark.createDataFrame(rows, pubsub.TERMS), "k", ["u", "n"], "t", spans)
     assert sorted(map(tuple, active.collect())) == [(i, s) for i, s in want if i >= 10 * s and (s % 2 or i < 100)]
+
+
+def test_shapes_of_texts_are_made_in_many_tasks(spark):
+    found = registry.queries()["fn_expr_shape"](spark, DATA)
+    assert len({r[0] for r in found.select(F.spark_partition_id()).collect()}) > 1
