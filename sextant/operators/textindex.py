@@ -113,9 +113,14 @@ def alarms(rows: DataFrame, key: str, columns: Sequence[str], alarm_words: Seque
 
 def near(rows: DataFrame, index: DataFrame, key: str, field: str, first: str, second: str, condition: Callable[[Column], Column]) -> DataFrame:
     """Rows whose two alarm words stand at a distance that meets ``condition``, nearest first."""
+    return rows.join(near_keys(index, key, field, first, second, condition), key).orderBy("distance", key)
+
+
+def near_keys(index: DataFrame, key: str, field: str, first: str, second: str, condition: Callable[[Column], Column]) -> DataFrame:
+    """(key, distance) of the same rows, from the index alone: one for each indexed text, also where keys repeat or are null."""
     low, high = sorted([scalars.upper_text(first), scalars.upper_text(second)])
     hit = index.where((F.col("field") == field) & (F.col("word1") == low) & (F.col("word2") == high) & condition(F.col("distance")))
-    return rows.join(hit.select(key, "distance"), key).orderBy("distance", key)
+    return hit.select(key, "distance")
 
 
 def search(rows: DataFrame, index: DataFrame, key: str, column: str, word: str, name: str = "word") -> DataFrame:

@@ -303,8 +303,8 @@ def f_stem(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH x AS (" + SQL["idx_3"] + ") SELECT doc_id, distance FROM x WHERE word1 = 'THE' AND word2 = 'WITH' AND distance <= 400")
 def f_prox(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return X.near(docs, X.alarms(docs, "doc_id", ["text"], ["the", "and", "with"]), "doc_id", "text", "with", "the", lambda x: x <= 400).orderBy("distance", "doc_id").select("doc_id", "distance")
+    index = X.alarms(table(spark, d, "documents"), "doc_id", ["text"], ["the", "and", "with"])
+    return X.near_keys(index, "doc_id", "text", "with", "the", lambda x: x <= 400).orderBy("distance", "doc_id")
 
 
 @query("WITH x AS (" + SQL["idx_3"] + ") SELECT word1, word2, distance, count(*) AS n FROM x GROUP BY 1, 2, 3")
