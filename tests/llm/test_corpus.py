@@ -370,3 +370,38 @@ def test_long_lines_of_few_words_meet(spark):
     assert all(len(line) >= 80 for _, line in made)
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert {d for d, t in out.items() if t == ""} == {1, 11, 21, 31}
+
+
+def test_large_bucket_keeps_every_link(spark, monkeypatch):
+    """Lines whose nearest SimHashes are of other lines, and lines with one SimHash: each true link is found."""
+    words = [f"word{k:03d}" for k in range(60)]
+    random.seed(21)
+
+    def made(line):  # one SimHash, for the order of words is no part of it
+        return [" ".join(line), " ".join(reversed(line))]
+
+    base = random.sample(words, 40)
+    near = [x for k in range(14) for x in made([*base[:36], *random.sample(words, 4)])]
+    rows = [(i, t) for i, t in enumerate(near)]
+    norm = [line_dedup.normal(t).decode() for _, t in rows]
+    how = line_dedup.Edits()
+    ready = [how.prepare(t) for t in norm]
+    want = groups(len(rows), lambda i, j: norm[i] == norm[j] or how.same(ready[i], ready[j]))
+    assert 1 < len(set(want)) < len(rows)
+    for run in (2048, 5):
+        monkeypatch.setattr(line_dedup, "RUN", run)
+        got = line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.id for r in got.collect()} == {i for i, g in enumerate(want) if g != i}
+
+
+def test_nearest_first_then_all_others():
+    """Pairs within 22 bits that components do not join all go on, however large the bucket."""
+    rng = np.random.default_rng(5)
+    node = np.sort(np.unique(rng.integers(0, 1 << 20, 300)))
+    bucket = np.zeros(len(node), np.int64)
+    every = {frozenset(p) for p in zip(*(x.tolist() for x in line_dedup.Near(6).inside(bucket, node, [])), strict=True)}
+    assert every == {frozenset((int(a), int(b))) for a in node for b in node if a != b and (int(a) ^ int(b)).bit_count() <= 6}
+    comp = [str(int(x) % 3) if x % 4 else None for x in node]
+    named = dict(zip(node.tolist(), comp, strict=True))
+    some = {frozenset(p) for p in zip(*(x.tolist() for x in line_dedup.Near(6).inside(bucket, node, comp)), strict=True)}
+    assert some == {p for p in every if len({named[x] for x in p}) > 1 or None in {named[x] for x in p}}
