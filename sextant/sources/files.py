@@ -65,88 +65,128 @@ class Unfinished(ValueError):
         self.start = start
 
 
-def _records(text: str, fields: Sequence[str], at: int = 0) -> Iterator[tuple[int, list[str]]]:
-    """(where it begins, field values) of the records from ``at`` on."""
+#: Bytes that go on within a character of UTF-8.
+_WITHIN = bytes(range(0x80, 0xC0))
+#: Bytes of records that a task holds as Python values at a time.
+BATCH_BYTES = 2 << 20
+
+
+def _ahead(text: bytes | bytearray, at: int, n: int) -> int | None:
+    """Where ``n`` characters of UTF-8 from ``at`` end, None if there are not so many."""
+    while n:
+        part = text[at : at + n]
+        if not part:
+            return None
+        at, n = at + len(part), n - len(part.translate(None, _WITHIN))
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _records(text: bytes | bytearray, fields: Sequence[str], at: int = 0, valued: bool = True) -> Iterator[tuple[int, list[str]]]:
+    """(where it begins, field values) of the records from ``at`` on; no values unless ``valued``."""
     number = 0
 
-    def line() -> str | None:
+    def line() -> bytes | bytearray | None:
         nonlocal at
         if at >= len(text):
             return None
-        end = text.find("\n", at)
+        end = text.find(b"\n", at)
         end = len(text) if end < 0 else end
         out, at = text[at:end], end + 1
         return out
 
-    def expected(token: str, after: str) -> None:
+    def shown(found: bytes | bytearray) -> str:
+        return repr(found[:160].decode("utf-8", "replace")[:40])
+
+    def expected(token: bytes, after: str) -> None:
         found = line()
         if found is None:
             raise Unfinished(f"record {number}: ends {after}", start)
         if found != token:
-            raise ValueError(f"record {number}: {token} expected {after}, {found[:40]!r} found")
+            raise ValueError(f"record {number}: {token.decode()} expected {after}, {shown(found)} found")
 
     while (start := at) < len(text):
         token = line()
         if not token:
             continue
         number += 1
-        if token != "INSERT":
-            raise ValueError(f"record {number}: INSERT expected, {token[:40]!r} found")
+        if token != b"INSERT":
+            raise ValueError(f"record {number}: INSERT expected, {shown(token)} found")
         values = []
         for name in fields:
             value = line()
             if value is None:
                 raise Unfinished(f"record {number}: ends before {name}", start)
-            if value == "ENDINSERT":
+            if value == b"ENDINSERT":
                 raise ValueError(f"record {number}: ends before {name}")
-            if value == "RAW":
+            if value == b"RAW":
                 size = line()
-                if size is None or (size.isdecimal() and at + int(size) > len(text)):
+                if size is None:
                     raise Unfinished(f"record {number}: ends within {name}", start)
-                if not size.isdecimal():
-                    raise ValueError(f"record {number}: length of {name} expected, {size[:40]!r} found")
-                value, at = text[at : at + int(size)], at + int(size)
-                expected("ENDRAW", f"after {name}")
-            values.append(value)
-        expected("ENDINSERT", "after its fields")
+                if not size.isdigit():
+                    raise ValueError(f"record {number}: length of {name} expected, {shown(size)} found")
+                end = _ahead(text, at, int(size))
+                if end is None:
+                    raise Unfinished(f"record {number}: ends within {name}", start)
+                value, at = text[at:end] if valued else b"", end
+                expected(b"ENDRAW", f"after {name}")
+            if valued:
+                values.append(value.decode())
+        expected(b"ENDINSERT", "after its fields")
         yield start, values
 
 
 def parse_records(text: str, fields: Sequence[str]) -> Iterator[list[str]]:
     """The field values of INSERT ... ENDINSERT records; ``RAW``, a length and so many characters stand for one field."""
-    for _, values in _records(text, fields):
+    for _, values in _records(text.encode(), fields):
         yield values
 
 
-def synchronise(text: str, fields: Sequence[str], first: bool) -> tuple[int, int, list[list[str]]] | None:
-    """(where records begin, where the last one is cut, records between) of a split; None if no place fits.
+def synchronise(text: bytes | bytearray, fields: Sequence[str], first: bool) -> tuple[int, int] | None:
+    """(where records begin, where the last one is cut) of a split; None if no place fits.
 
     A split begins anywhere, also within a text that holds records of its own.
     Records begin at the first INSERT from which they follow one another to the
     end of the split. A file's ``first`` split begins with one, and what is wrong
-    with it is left to the reader of its text. Places that one try has passed are
-    not tried again.
+    with it is left to the reader of its text. Places that one try has passed,
+    a bit each, are not tried again.
     """
-    start, tried = 0, set()
+    start, tried = 0, bytearray(len(text) // 8 + 1)
     while True:
-        found = []
         try:
-            for at, values in _records(text, fields, start):
-                tried.add(at)
-                found.append(values)
-            return start, len(text), found
+            for at, _ in _records(text, fields, start, False):
+                tried[at >> 3] |= 1 << (at & 7)
+            return start, len(text)
         except Unfinished as cut:
-            return start, cut.start, found
+            return start, cut.start
         except ValueError:
             if first:
-                return 0, 0, []
-        tried.add(start)
-        while start in tried or not text.startswith("INSERT\n", start):
-            start = text.find("\nINSERT\n", start) + 1
+                return 0, 0
+        tried[start >> 3] |= 1 << (start & 7)
+        while tried[start >> 3] >> (start & 7) & 1 or not text.startswith(b"INSERT\n", start):
+            start = text.find(b"\nINSERT\n", start) + 1
             if not start:
                 return None
 
 
+def _between(text: bytes | bytearray, fields: Sequence[str], start: int, end: int) -> Iterator[list[list[str]]]:
+    """The records from ``start`` to ``end``, where :func:`synchronise` has found them, a few at a time."""
+    held, since = [], start
+    try:
+        for at, values in _records(text, fields, start):
+            if at >= end:
+                break
+            held.append(values)
+            if at - since > BATCH_BYTES:
+                yield held
+                held, since = [], at
+    except Unfinished:
+        pass
+    if held:
+        yield held
+
+
 def format_record(values: Sequence[str | None]) -> str:
     framed = [f"RAW\n{len(v)}\n{v}ENDRAW" if "\n" in v or v in ("RAW", "ENDINSERT") else v for v in ("" if v is None else v for v in values)]
     return "\n".join(["INSERT", *framed, "ENDINSERT", ""])
@@ -160,25 +200,40 @@ def _folded(lines: DataFrame, names: Sequence[str], whole: frozenset[tuple[str,
     def run(batches):
         import pyarrow as pa
 
-        def rows(split: tuple[str, int], text: str):
-            found = None if whole else synchronise(text, names, split[1] == 0)
-            start, end, records = found or (len(text), len(text), [])
+        def made(split: tuple[str, int], synced: bool | None, head: str | None, tail: str | None, records: list) -> pa.RecordBatch:
             n = len(records)
-            of = [pa.array([split[0]] * (n + 1), pa.string()), pa.array([split[1]] * (n + 1), pa.int64()), pa.array([None] * n + [found is not None], pa.bool_())]
-            ends = [pa.array([None] * n + [text[a:b]], pa.string()) for a, b in ((0, start), (end, len(text)))]
-            yield pa.RecordBatch.from_arrays([*of, *ends, pa.array([*records, None], pa.list_(pa.string()))], names=["file", "block", "synced", "head", "tail", "fields"])
+            of = [pa.array([split[0]] * n, pa.string()), pa.array([split[1]] * n, pa.int64()), pa.array([synced] * n, pa.bool_())]
+            ends = [pa.array([x] * n, pa.string()) for x in (head, tail)]
+            return pa.RecordBatch.from_arrays([*of, *ends, pa.array(records, pa.list_(pa.string()))], names=["file", "block", "synced", "head", "tail", "fields"])
+
+        def rows(split: tuple[str, int], text: bytearray):
+            found = None if whole else synchronise(text, names, split[1] == 0)
+            start, end = found or (len(text), len(text))
+            if start < end:
+                for records in _between(text, names, start, end):
+                    yield made(split, None, None, None, records)
+            yield made(split, found is not None, text[:start].decode(), text[end:].decode(), [None])
 
-        split, held = None, []
+        split, held = None, bytearray()  # a split's bytes: as text, one wide character would take four bytes of each
         for batch in batches:
-            for file, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file, block) != split:  # splits are not mixed within a task
-                    if split:
-                        yield from rows(split, "\n".join([*held, ""]))
-                    split, held = (file, block) if not whole or (file, block) in whole else None, []
-                if split:
-                    held.append(value)
-        if split:
-            yield from rows(split, "\n".join([*held, ""]))
+            files, blocks, values = (batch.column(i) for i in range(3))
+            files, blocks = files.to_pylist(), blocks.to_pylist()
+            at = 0
+            while at < len(files):  # splits are not mixed within a task
+                stop = at + 1
+                while stop < len(files) and blocks[stop] == blocks[at] and files[stop] == files[at]:
+                    stop += 1
+                if (files[at], blocks[at]) != split:
+                    if split and held:
+                        yield from rows(split, held)
+                    split, held = (files[at], blocks[at]), bytearray()
+                if not whole or split in whole:
+                    for value in values.slice(at, stop - at).cast(pa.binary()).to_pylist():
+                        held += value
+                        held += b"\n"
+                at = stop
+        if split and held:
+            yield from rows(split, held)
 
     return lines.mapInArrow(run, "file string, block long, synced boolean, head string, tail string, fields array<string>")
 

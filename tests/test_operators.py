@@ -493,3 +493,23 @@ def test_keys_of_test_runs(spark):
     rows = [("f", 1, "match_rate = ~5"), ("f", 2, "unique_matches: exactly 5 rows"), ("f", 3, "disjunction_ratio=0.50"), ("f", 4, "disjunction_prob=0.5"), ("f", 5, "pub_wait=1"), ("f", 6, "publication_timeout=2"), ("g", 1, "test_script = t")]
     got = {r.file: tuple(r)[1:] for r in files.test_runs(frame(spark, rows, "file string, line long, value string"), ["unique_matches", "disjunction_prob", "pub_wait", "testname"]).collect()}
     assert got == {"f": ("exactly 5 rows", "0.5", "1?2", None), "g": (None, None, None, "t")}
+
+
+def test_a_split_is_held_once_as_bytes():
+    """A split's records come in batches, and a wide character does not widen the rest of its bytes."""
+    import tracemalloc
+
+    values = [[str(k), f"x\nä{k}\U0001f600 " + "y" * 50] for k in range(260_000)]
+    text = bytearray("".join(map(files.format_record, values)).encode())
+    cut = bytes(text[-20:])
+    del text[-20:]
+    tracemalloc.start()
+    start, end = files.synchronise(text, ["a", "b"], False)
+    n = most = 0
+    for part in files._between(text, ["a", "b"], start, end):
+        assert part == values[n : n + len(part)]
+        n, most = n + len(part), max(most, len(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(values) - 1 and most < len(values) / 3 and peak < len(text), (n, most, peak, len(text))
+    assert list(files.parse_records((text[end:] + cut).decode(), ["a", "b"])) == values[-1:]
