@@ -53,3 +53,24 @@ def test_deliveries_of_a_shared_body_are_told_apart_without_a_shuffle(spark, mon
 def test_shapes_of_texts_are_made_in_many_tasks(spark):
     found = registry.queries()["fn_expr_shape"](spark, DATA)
     assert len({r[0] for r in found.select(F.spark_partition_id()).collect()}) > 1
+
+
+def test_word_triples_shuffle_fewer_bytes(spark):
+    """Three words go through the shuffle as one text, any text among them; the counts are those of a plain grouping."""
+    from pyspark.sql import functions as F
+
+    from sextant.operators import distributions
+
+    made = [F.concat(F.lit(p), (F.xxhash64("id", F.lit(p)) % 50).cast("string")) for p in ("a:1", "word", "ä ", "")]
+    docs = spark.range(20_000).select("id", F.array(*made, F.lit("")).alias("t"))
+    back = [F.when(F.col("k") + i > 0, F.get("t", F.col("k") + i - 1)).otherwise("").alias(n) for i, n in ((-2, "first"), (-1, "second"), (0, "following"))]
+    plain = docs.select("t", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).select(*back).groupBy("first", "second", "following").agg(F.count("*").alias("n"))
+
+    def sent(df):
+        store = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        before = store().apply(0).totalShuffleWrite()
+        rows = sorted(map(tuple, df.collect()))
+        return rows, store().apply(0).totalShuffleWrite() - before
+
+    (got, less), (want, more) = sent(distributions.next_words(docs, "id", F.col("t"))), sent(plain)
+    assert got == want and 0 < less < 0.9 * more
