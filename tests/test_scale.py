@@ -74,3 +74,31 @@ def test_word_triples_shuffle_fewer_bytes(spark):
 
     (got, less), (want, more) = sent(distributions.next_words(docs, "id", F.col("t"))), sent(plain)
     assert got == want and 0 < less < 0.9 * more
+
+
+def test_walks_do_not_shuffle_the_model_again(spark):
+    """Words that a walk is long cost shuffles of the walks, not of the model."""
+    from pyspark.sql import functions as F
+
+    from sextant.operators import synth
+
+    words = [F.concat(F.lit("w"), (F.xxhash64("id", F.lit(k)) % 40).cast("string")).alias(n) for k, n in enumerate(("first", "second", "following"))]
+    model = spark.range(60_000).select(*words).groupBy("first", "second", "following").agg(F.count("*").alias("n"))
+    model = model.union(model.select(F.lit(""), F.lit(""), "first", "n")).union(model.select(F.lit(""), "first", "second", "n"))
+    model = model.groupBy("first", "second", "following").agg(F.sum("n").alias("n"))
+
+    def sent(length):
+        store = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        before = store().apply(0).totalShuffleWrite()
+        made = synth.texts(spark.range(20), model, "id", length, 5).collect()
+        assert len(made) == 20 and all(0 < len(r.text) <= length for r in made)
+        return store().apply(0).totalShuffleWrite() - before
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a model of any size
+    try:
+        few, many = sent(8), sent(40)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert many < 1.2 * few
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sextant_")]
