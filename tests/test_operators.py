@@ -480,6 +480,19 @@ def test_random_trees(spark):
     assert all(abs(tops[f"a{i}"] / n - w / sum(weights)) < 0.1 for i, w in enumerate(weights))
 
 
+def test_random_trees_are_dealt_before_they_are_made(spark):
+    """The customers are few bytes, so that one task would make all branches; afterwards no branch is shuffled."""
+    import re
+
+    from harness import DATA
+
+    from sextant import registry
+
+    plan = registry.queries()["dg_xml_tree"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange ", plan)) == 1 and plan.index("Exchange ") > plan.index("Generate explode")
+    assert f"{spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_NUM" in plan
+
+
 def test_zip_and_street_files(spark, tmp_path):
     (tmp_path / "z.csv").write_text("zip code, state, city\n10001, New York, New York\n10001, New York, Harlem\n02134, Maine, Allston\n")
     (tmp_path / "s.csv").write_text("zip,fullname\n10001,Main St\n10001,Main St\n02134,High St\n")
