@@ -405,3 +405,32 @@ def test_nearest_first_then_all_others():
     named = dict(zip(node.tolist(), comp, strict=True))
     some = {frozenset(p) for p in zip(*(x.tolist() for x in line_dedup.Near(6).inside(bucket, node, comp)), strict=True)}
     assert some == {p for p in every if len({named[x] for x in p}) > 1 or None in {named[x] for x in p}}
+
+
+def test_long_lines_with_changed_letters_meet(spark):
+    """One letter in ten changed, in whatever word: at least nine in ten of such pairs of long lines are found."""
+    random.seed(31)
+    letters, how, rows, want = "abcdefghijklmnopqrstuvwxyz", line_dedup.Edits(), [], set()
+    for k in range(80):
+        line = " ".join("".join(random.choice(letters) for _ in range(random.randint(2, 8))) for _ in range(random.randint(14, 60)))
+        other = "".join(c if c == " " or random.random() >= 0.1 else random.choice(letters) for c in line)
+        if len(line) >= line_dedup.MIDDLE and how.same(how.prepare(line), how.prepare(other)):
+            rows += [(2 * k, line), (2 * k + 1, other)]
+            want.add(2 * k + 1)
+    got = {r.id for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_sketches_pass_every_pair_by_length_place_and_characters():
+    """The exact parts of the gate: no edit that is allowed makes lengths, places or counts of characters differ too much."""
+    random.seed(32)
+    gate, how, n = line_dedup.Sketched(0.8), line_dedup.Edits(), 0
+    for _ in range(3000):
+        a = "".join(random.choice("abcdefgh ") for _ in range(random.randint(25, 79)))
+        b = "".join(c if random.random() < 0.88 else random.choice(["", "x", c + "y"]) for c in a)
+        if how.same(how.prepare(a), how.prepare(b)):
+            x = np.zeros(2, line_dedup.SKETCH)
+            x["more"], x["size"], x["at"] = [line_dedup.characters(t) for t in (a, b)], [len(a), len(b)], line_dedup.ANY
+            n += 1
+            assert gate.near(x[:1], x[1:])[1][0] and gate.counted(x[:1], x[1:])[0]
+    assert n > 1000
