@@ -434,3 +434,31 @@ def test_sketches_pass_every_pair_by_length_place_and_characters():
             n += 1
             assert gate.near(x[:1], x[1:])[1][0] and gate.counted(x[:1], x[1:])[0]
     assert n > 1000
+
+
+def test_many_distances_at_once(spark, monkeypatch):
+    """Pairs of different lines of one length are told apart together, not one by one, and exactly."""
+    from sextant.llm import _edits
+
+    random.seed(4)
+    left, right = [], []
+    for n in (1, 63, 64, 65, 128, 300):
+        for alphabet in ("ab", "abcdefgh ", "añ漢字𝒳 bc"):
+            for share in (0, 0.1, 0.19, 0.21, 0.4, 1):
+                for _ in range(6):
+                    a = random.choices(alphabet, k=n + random.randint(0, 2))
+                    b = [random.choice(alphabet) if random.random() < share else c for c in a]
+                    at = random.randrange(len(b))
+                    left.append("".join(a))
+                    right.append("".join(b[:at] + b[at + 1 :] if random.random() < 0.5 else b[:at] + random.choices(alphabet, k=2) + b[at:]))
+    most = [int(0.2 * max(len(a), len(b))) for a, b in zip(left, right, strict=True)]
+    want = [line_dedup.distance(a, b) <= k for a, b, k in zip(left, right, most, strict=True)]
+    for few, check in ((1, 5), (32, 48)):
+        monkeypatch.setattr(_edits, "FEW", few)
+        monkeypatch.setattr(_edits, "CHECK", check)
+        assert _edits.within(left, right, most).tolist() == want and 0.2 < sum(want) / len(want) < 0.8
+    lines = ["".join(random.choices("abcdefghij ", k=200)) for _ in range(600)]
+    how, asked = line_dedup.Edits(), []
+    monkeypatch.setattr(_edits, "distance", lambda a, b, most: asked.append(a) or 0)
+    ready = [how.prepare(x) for x in lines]
+    assert not how.all_same(ready[:300], ready[300:]).any() and not asked
