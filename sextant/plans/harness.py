@@ -158,6 +158,5 @@ def u_3(spark: SparkSession, d: str) -> DataFrame:
 def u_1(spark: SparkSession, d: str) -> DataFrame:
     """The threshold as a function in SQL text."""
     P.register(spark)
-    table(spark, d, "orders").createOrReplaceTempView("sextant_u_1")
     score = "m_of_n(2, array(o_orderstatus = 'F', o_orderpriority = '1-URGENT', o_totalprice >= 200000))"
-    return spark.sql(f"SELECT o_orderkey, {score} AS score FROM sextant_u_1 WHERE {score} >= 2")
+    return spark.sql(f"SELECT o_orderkey, {score} AS score FROM {{orders}} WHERE {score} >= 2", orders=table(spark, d, "orders"))  # leaves no view behind

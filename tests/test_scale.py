@@ -102,3 +102,21 @@ def test_walks_do_not_shuffle_the_model_again(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert many < 1.2 * few
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("sextant_")]
+
+
+def test_written_tables_leave_no_shuffles(spark):
+    from pathlib import Path
+
+    from sextant.scratch import written
+
+    local = Path(spark.conf.get("spark.local.dir"))
+    shuffles = lambda: {f.name for f in local.rglob("shuffle_*.data")}
+    before = shuffles()
+    assert written(spark.range(5000).repartition(4, "id")).count() == 5000
+    left = {n.split("_")[1] for n in shuffles() - before}
+    assert len(left) <= 1  # that of the count
+
+
+def test_views_are_not_left_behind(spark):
+    assert registry.queries()["u_1"](spark, DATA).count() > 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sextant_u")]
