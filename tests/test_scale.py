@@ -104,6 +104,28 @@ def test_walks_do_not_shuffle_the_model_again(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("sextant_")]
 
 
+def _records_sent(spark, run):
+    """What ``run`` gives, and the bytes that it shuffled."""
+    store = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    before = store().apply(0).totalShuffleWrite()
+    return run(), store().apply(0).totalShuffleWrite() - before
+
+
+def test_audits_shuffle_a_fraction_of_the_pairs(spark):
+    pairs = spark.range(0, 40, 1, 4).select(F.col("id").alias("pub"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4999).cast("long"))).alias("sub"))
+    actual = pairs.where("pub % 9 <> 0").union(pairs.where("pub % 8 = 0 and sub < 7").select("pub", -F.col("sub") - 1))
+    odd = spark.createDataFrame([(None, 1), (3, None)], "pub long, sub long")
+
+    def counts(found):
+        return dict(map(tuple, found.groupBy("status").agg(F.count("*")).collect()))
+
+    got, less = _records_sent(spark, lambda: counts(pubsub.audit(pairs.union(odd), actual.union(odd))))
+    want, more = _records_sent(spark, lambda: counts(pubsub._audit_plain(pairs.union(odd), actual.union(odd))))
+    assert got == want == {"right": 35 * 5000, "missing": 5 * 5000 + 2, "extra": 5 * 7 + 2} and less < more / 10
+    found = pubsub.audit(pairs, actual).where("pub = 8").select("sub", "status").collect()
+    assert sorted(map(tuple, found)) == sorted([(s, "right") for s in range(5000)] + [(-1 - s, "extra") for s in range(7)])
+
+
 def test_written_tables_leave_no_shuffles(spark):
     from pathlib import Path
 
